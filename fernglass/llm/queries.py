@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, sharding
+from . import langid, license_scan, media, mixing, sharding
 
 
 def pipeline(spark, sf_dir):
@@ -14,7 +14,9 @@ def pipeline(spark, sf_dir):
 def queries():
     return {
         "op1_mixing": mixing.op1,
+        "op5_language": langid.op5,
         "op6_media": media.op6,
+        "op8_license": license_scan.op8,
         "op9_sharding": sharding.op9,
     }
 
