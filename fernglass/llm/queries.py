@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, license_scan, media, mixing, sharding
+from . import langid, license_scan, media, mixing, sharding, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -14,6 +14,7 @@ def pipeline(spark, sf_dir):
 def queries():
     return {
         "op1_mixing": mixing.op1,
+        "op4_toxicity": toxicity.op4,
         "op5_language": langid.op5,
         "op6_media": media.op6,
         "op8_license": license_scan.op8,
