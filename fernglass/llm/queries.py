@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, license_scan, media, mixing, sharding, toxicity
+from . import decontamination, langid, license_scan, media, mixing, sharding, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -19,6 +19,7 @@ def queries():
         "op6_media": media.op6,
         "op8_license": license_scan.op8,
         "op9_sharding": sharding.op9,
+        "op10_decontamination": decontamination.op10,
     }
 
 

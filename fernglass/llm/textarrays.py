@@ -87,12 +87,12 @@ def chunks(column: pa.Array | pa.ChunkedArray, most: int = 4 << 20):
         row = end
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first word of each text and one more) for words of WORD; none crosses texts."""
+def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each text and one more) for runs of bytes that are ``inside`` (not white space); none crosses texts."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     full = np.zeros(len(data) + 2, bool)
-    full[1:-1] = ~SPACE[data]
+    full[1:-1] = ~SPACE[data] if inside is None else inside
     start, end = full[1:-1] & ~full[:-2], full[1:-1] & ~full[2:]
     inner = off[1:-1]
     inner = inner[(inner > 0) & (inner < len(data))]
