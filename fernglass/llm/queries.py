@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, langid, license_scan, media, mixing, sharding, toxicity
+from . import decontamination, langid, license_scan, media, mixing, ngram_join, sharding, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -14,6 +14,7 @@ def pipeline(spark, sf_dir):
 def queries():
     return {
         "op1_mixing": mixing.op1,
+        "op2_ngram_join": ngram_join.op2,
         "op4_toxicity": toxicity.op4,
         "op5_language": langid.op5,
         "op6_media": media.op6,
