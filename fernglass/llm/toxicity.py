@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, hash_fraction
+from .common import ascii_lower, cut, hash_fraction
 
 HEAD, WINDOW, SHIFT = 10, 128, 37
 #: Bounds of the fitting sample (labelled rows) and of the dictionaries' heads.
@@ -123,11 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     None if no toxic or no ordinary document is labelled.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    rows = docs.where("text is not null").select(F.col("doc_id").alias("__id"), "text")
-    rows = rows.join(known, rows["__id"] == known["doc_id"]).select("__id", "text", "__toxic")
-    drawn = rows.select("__id", "__toxic", hash_fraction(F.col("__id"), F.lit("toxicity sample")).alias("__u")).orderBy("__u", "__id").limit(sample)
-    drawn = drawn.withColumnRenamed("__id", "__i").drop("__toxic").dropDuplicates(["__i"])
-    rows = rows.join(drawn, rows["__id"] == drawn["__i"]).select("text", "__toxic", (F.col("__u") * 999983 % 1 < 0.67).alias("__build"))
+    u = hash_fraction(F.col("doc_id"), F.lit("toxicity sample"))
+    drawn = known.select(F.col("doc_id").alias("__i"), "__toxic", u.alias("__u")).orderBy("__u", "__i").limit(sample)
+    rows = docs.where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("__i"))  # ``sample`` rows at most
+    rows = cut(rows.select("text", "__toxic", (F.col("__u") * 999983 % 1 < 0.67).alias("__build")))
 
     folded = F.translate(ascii_lower(F.col("text")), PUNCTUATION.decode(), " " * len(PUNCTUATION))
     heads = F.transform(F.array_distinct(F.filter(F.split(folded, " "), lambda w: w != "")), lambda w: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), 1, HEAD))
@@ -137,8 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     if not sizes[0] or not sizes[1]:
         return None
     # heads of a document that share a prefix count each; for these short prefixes that changes little
-    cut = per.select("t", "o", "h", F.explode(F.sequence(F.lit(PREFIX), F.length("h"))).alias("k")).where(F.col("k") <= F.length("h"))
-    grams = cut.groupBy(F.substring("h", F.lit(1), F.col("k")).alias("p")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    prefixes = per.select("t", "o", "h", F.explode(F.sequence(F.lit(PREFIX), F.length("h"))).alias("k")).where(F.col("k") <= F.length("h"))
+    grams = prefixes.groupBy(F.substring("h", F.lit(1), F.col("k")).alias("p")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     lifted = grams.where((F.col("t") >= SEEN) & (F.col("t") / sizes[0] >= LIFT * (F.col("o") + 1) / sizes[1]))
     marked = {r["p"] for r in lifted.orderBy(F.desc("t"), "p").limit(5000).collect()}
     toxic = [r["h"] for r in per.where("t > 0").orderBy(F.desc("t"), "h").limit(50_000).collect() if any(r["h"][:k] in marked for k in range(PREFIX, HEAD + 1))]
