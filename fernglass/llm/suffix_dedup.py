@@ -26,6 +26,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,15 +245,41 @@ class Answers:
         return out
 
 
+TEXTS = "bucket int, docs binary, sizes binary, texts binary"
+
+
 def texts_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows of TEXTS: the texts of a batch that fall to one bucket, end to end and compressed."""
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
 
     def rows(batches):
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
             own = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.record_batch([pa.array(bucket_of(own, buckets).astype(np.int32)), b.column(0), b.column(1)], names=["bucket", "doc", "text"])
-
-    return docs.select(ids.alias("doc"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, "bucket int, doc long, text binary")
+            bucket = bucket_of(own, buckets)
+            out = []
+            for at in np.unique(bucket):
+                rows = np.flatnonzero(bucket == at)
+                texts = [x or b"" for x in b.column(1).take(pa.array(rows)).to_pylist()]
+                sizes = np.array([len(x) for x in texts], np.int64)
+                out.append((int(at), own[rows].tobytes(), sizes.tobytes(), press.compress(b"".join(texts))))
+            yield from table_of(out, TEXTS).to_batches()
+
+    return docs.select(ids.alias("doc"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, TEXTS)
+
+
+def unpacked(t: pa.Table):
+    """(doc ids, bytes, offsets) of consecutive texts of a bucket, about CHUNK bytes at a time."""
+    open_ = zstandard.ZstdDecompressor()
+    for i in range(t.num_rows):
+        docs, sizes = np.frombuffer(t.column("docs")[i].as_py(), np.int64), np.frombuffer(t.column("sizes")[i].as_py(), np.int64)
+        total = int(sizes.sum())
+        data = np.frombuffer(open_.decompress(t.column("texts")[i].as_py(), max_output_size=max(1, total)) if total else b"", np.uint8)
+        off, row = np.r_[0, np.cumsum(sizes)], 0
+        while row < len(docs):
+            end = min(len(docs), max(row + 1, int(np.searchsorted(off, off[row] + CHUNK, "right")) - 1))
+            yield docs[row:end], data[off[row] : off[end]], off[row : end + 1] - off[row]
+            row = end
 
 
 def string_messages(texts: DataFrame, first: DataFrame, parts: int) -> DataFrame:
@@ -260,12 +287,10 @@ def string_messages(texts: DataFrame, first: DataFrame, parts: int) -> DataFrame
 
     def rows(t: pa.Table, replied: pa.Table) -> pa.Table:
         answers, held, base = Answers(replied), [], 0
-        if t.num_rows and answers.by:
-            ids = t.column("doc").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, data, off in chunks(t.column("text"), CHUNK):
-                r = Runs(data, off)
-                n = len(off) - 1
-                doc, mark = ids[row : row + n], marks_of(r.prefix, off)
+        if answers.by:
+            for doc, data, off in unpacked(t):
+                r, n = Runs(data, off), len(doc)
+                mark = marks_of(r.prefix, off)
                 codes = answers.apply(doc, mark, r.text, spread(r.anchor, parts))
                 p, text = r.strings(np.flatnonzero(codes == 2))
                 if len(p):
@@ -290,12 +315,8 @@ def removal(texts: DataFrame, both: DataFrame, parts: int, keep: bool) -> DataFr
         level = replied.column("round").to_numpy() if replied.num_rows else np.zeros(0)
         one, two = (Answers(replied.filter(pa.array(level == k))) for k in (1, 2))
         out = []
-        ids = t.column("doc").combine_chunks() if t.num_rows else pa.array([], pa.int64())
-        ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-        for row, data, off in chunks(t.column("text"), CHUNK) if t.num_rows else ():
-            n = len(off) - 1
-            doc = ids[row : row + n]
-            r = Runs(data, off)
+        for doc, data, off in unpacked(t):
+            r, n = Runs(data, off), len(doc)
             mark = marks_of(r.prefix, off)
             codes = one.apply(doc, mark, r.text, spread(r.anchor, parts))
             edge = np.zeros(len(data) + 1, np.int32)
@@ -337,7 +358,8 @@ def remove_repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     first = cut(replies(run_messages(docs.select(ids.alias("doc"), F.col("text").cast("binary").alias("text")), parts), buckets, runs=True))
     texts = texts_by_bucket(docs, buckets)
-    second = cut(replies(string_messages(texts, first, parts), buckets, runs=False))
+    # not cut: within one plan the texts' exchange serves both rounds
+    second = replies(string_messages(texts, first, parts), buckets, runs=False)
     both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     out = removal(texts, both, parts, keep)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")))
