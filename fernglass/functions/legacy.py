@@ -304,7 +304,7 @@ def moved(text: Column, ms, months: Column | int) -> Column:
     offset = F.regexp_extract(text, r"([+-]\d{2}:?\d{2})$", 1)
     sign = F.when(offset.startswith("-"), -1).otherwise(1)
     shift = F.when((offset != "") & text.contains("T"), sign * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, -2, 2).try_cast("int"))).otherwise(0)
-    at = F.timestamp_micros(((instant(text) + ms) * 1000 + shift * 60_000_000).cast("bigint"))
+    at = F.timestamp_micros(((instant(text) + ms) * 1000 + shift.cast("bigint") * 60_000_000).cast("bigint"))
     zone = F.when((offset != "") & text.contains("T"), offset).otherwise("Z")
     by_ms = F.when(text.contains("T"), F.regexp_replace(F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS"), zone), r"\.000", "")).otherwise(F.date_format(at, "yyyy-MM-dd"))
     if isinstance(months, int):
@@ -764,14 +764,17 @@ def _list_method(v: Val, node: Call, scope: Scope) -> Val:
 
         return Val(shape, F.aggregate(pairs, convert(start, shape), step))
     args = [compile_tree(a, scope) for a in node.args]
+
+    def has(x: Val) -> Column:
+        return F.exists(v.col, lambda e: text(e) == to_text(x))
+
     match name:
         case "contains":
-            return Val(BOOL, F.exists(v.col, lambda e: text(e) == to_text(args[0])))
+            return Val(BOOL, has(args[0]))
         case "containsAll" | "containsAny":
             out = F.lit(name == "containsAll")
             for a in args:
-                hit = F.exists(v.col, lambda e, a=a: text(e) == to_text(a))
-                out = out & hit if name == "containsAll" else out | hit
+                out = out & has(a) if name == "containsAll" else out | has(a)
             return Val(BOOL, out)
         case "isEmpty":
             return Val(BOOL, F.coalesce(F.size(v.col) == 0, F.lit(True)))

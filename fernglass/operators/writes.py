@@ -34,7 +34,7 @@ def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_folded(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
 

@@ -541,7 +541,7 @@ def backfill(spark, d):
     return r.df.select("path", "fields.seq", "fields.role2")
 
 
-@query("SELECT c_custkey, lower(replace(replace(c_name, '#', '-'), ' ', '-')) AS slug, '2024-03-15' AS seen, c_name AS shown FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey > 0 THEN lower(replace(replace(c_name, '#', '-'), ' ', '-')) END AS slug, CASE WHEN c_custkey > 0 THEN '2024-03-15' END AS seen, c_name AS shown FROM customer")
 def lifecycle(spark, d):
     r = records(spark, d, "customer", fields=["c_custkey", "c_name"])
     r = W.lifecycle(r, [{"if": "c_custkey > 0", "set": {"slug": {"slugify": "c_name"}, "seen": {"today": True}}}, {"set": {"shown": {"copy": "c_name"}}}], NOW)
