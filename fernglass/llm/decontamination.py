@@ -8,7 +8,8 @@ The matches of a document with an item are collected by their offset, and the
 slots under a matched stretch must be filled consistently: one value of the
 item always meets the same value of the document.  So a re-parameterised
 question is found like a literal one, and a chance meeting of placeholders is
-not.
+not.  Windows are also looked up word for word without regard to case, as a
+text in capitals doesn't show its names.
 
 The benchmark is taken in blocks of at most ``BLOCK`` windows, which bounds
 what is sent to the executors however many items there are.
@@ -46,11 +47,11 @@ SLOT_CODE = np.array([0, 0xB5297A4D3C6EF372, 0x68E31DA4A54FF53A, 0x1B56C4E9510E5
 def lowered(data: np.ndarray) -> np.ndarray:
     """Lower-cased at the same byte positions; letters whose lower case has another length stay."""
     out = LOWERED[data]
-    if len(data) and data.max() >= 0xC4:
-        text = data.tobytes().decode("utf-8", "surrogateescape")
-        low = "".join(b if len(b.encode("utf-8", "surrogateescape")) == len(a.encode("utf-8", "surrogateescape")) else a for a, b in ((c, c.lower()) for c in text)) if len(text.lower()) != len(text) else text.lower()
-        low = low.encode("utf-8", "surrogateescape")
-        return np.frombuffer(low, np.uint8) if len(low) == len(data) else out
+    if len(data) and ((data >= 0xC4) & (data <= 0xF4)).any():
+        encoded = [c.encode("utf-8", "surrogateescape") for c in data.tobytes().decode("utf-8", "surrogateescape")]
+        low = [c.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape") if len(c) > 1 else c for c in encoded]
+        same = b"".join(b if len(b) == len(a) else a for a, b in zip(encoded, low))
+        return LOWERED[np.frombuffer(same, np.uint8)]
     if len(data) > 1:  # A-grave to Thorn, without the multiplication sign
         out[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 0x20
     return out
@@ -69,10 +70,10 @@ class Tokens:
         n = len(self.starts)
         self.kind = np.zeros(n, np.int8)
         if not n:
-            self.code = np.zeros(0, np.uint64)
+            self.code = self.plain = np.zeros(0, np.uint64)
             return
         self.low = lowered(data)
-        self.code = Prefix(self.low).of(self.starts, self.ends)
+        self.plain = Prefix(self.low).of(self.starts, self.ends)
         head = data[self.starts]
         second = data[np.minimum(self.starts + 1, len(data) - 1)]
         ended = np.concatenate([[0], np.cumsum(BREAK[data])])
@@ -85,17 +86,18 @@ class Tokens:
         after = np.zeros(n, bool)
         after[1:] = self.kind[:-1] == NUMBER
         after[firsts[firsts < n]] = False
-        self.kind[after & np.isin(self.code, UNIT_CODES) & (self.kind != NUMBER)] = UNIT
-        self.code = np.where(self.kind == LITERAL, self.code, SLOT_CODE[self.kind])
+        self.kind[after & np.isin(self.plain, UNIT_CODES) & (self.kind != NUMBER)] = UNIT
+        self.code = np.where(self.kind == LITERAL, self.plain, SLOT_CODE[self.kind])
 
-    def windows(self, k: int) -> np.ndarray:
+    def windows(self, k: int, plain: bool = False) -> np.ndarray:
         """A hash of the k tokens from every token that has as many (windows across texts are to be left out)."""
-        n = len(self.code) - k + 1
+        code = self.plain if plain else self.code
+        n = len(code) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         h = np.full(n, U(k))
         for j in range(k):
-            h += self.code[j : j + n] * SHINGLE[j]
+            h += code[j : j + n] * SHINGLE[j]
         return mix(h)
 
     def value(self, i: int) -> bytes:
@@ -108,7 +110,7 @@ def _tokens(text: str) -> Tokens:
 
 
 UNIT_CODES = np.zeros(0, np.uint64)
-UNIT_CODES = np.sort(np.concatenate([_tokens(u).code for u in UNITS]))
+UNIT_CODES = np.sort(np.concatenate([_tokens(u).plain for u in UNITS]))
 
 
 class Index:
@@ -125,7 +127,7 @@ class Index:
         if literal[-1] < LITERALS:
             return
         k = min(K, n)
-        h = t.windows(k)
+        h, plain = t.windows(k), t.windows(k, plain=True)
         usable = np.flatnonzero(literal[k:] - literal[: n - k + 1] >= LITERALS)
         if not len(usable):
             return
@@ -133,7 +135,8 @@ class Index:
         slots = {int(i): (int(t.kind[i]), t.value(i)) for i in np.flatnonzero(t.kind != LITERAL)}
         self.items.append((item_id, len(usable), k, slots))
         for q in usable:
-            self.at[(k, int(h[q]))].append((number, int(q)))
+            for code in {int(h[q]), int(plain[q])}:
+                self.at[(k, code)].append((number, int(q)))
         self.size += len(usable)
 
     def lengths(self) -> dict[int, np.ndarray]:
@@ -181,13 +184,13 @@ def scan(column: pa.Array, index: Index):
         found = defaultdict(list)
         last = t.first[1:]
         for k, table in tables.items():
-            h = t.windows(k)
-            at = np.searchsorted(table, h)
-            at[at == len(table)] = 0
-            for p in np.flatnonzero(table[at] == h):
-                text = int(np.searchsorted(t.first, p, "right")) - 1
-                if p + k <= last[text]:
-                    found[text].append((k, int(h[p]), int(p)))
+            for h in (t.windows(k), t.windows(k, plain=True)):
+                at = np.searchsorted(table, h)
+                at[at == len(table)] = 0
+                for p in np.flatnonzero(table[at] == h):
+                    text = int(np.searchsorted(t.first, p, "right")) - 1
+                    if p + k <= last[text]:
+                        found[text].append((k, int(h[p]), int(p)))
         for text in sorted(found):
             if got := leaks(t, text, found[text], index):
                 yield row + text, got
