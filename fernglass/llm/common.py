@@ -31,6 +31,18 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+#: Rows of an Arrow batch of texts; a batch is held several times over between the JVM and Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that passes texts to Python in batches of BATCH_ROWS, unless it has a size of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) == 10_000:  # Spark's default
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

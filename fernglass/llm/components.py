@@ -14,37 +14,38 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, tasks: int) -> DataFrame:
     """Link every node's neighbours to the least node about it."""
     if small:  # only neighbours below the node, and the node itself
         arcs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     else:
         arcs = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    arcs = arcs.coalesce(tasks)
     least = arcs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
     linked = arcs.join(least, arcs["u"] == least["c"])
-    if small:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-    else:
-        out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # a node keeps its own link to the least; edges to larger neighbours have moved
-        out = out.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    # a node keeps its own link to the least
+    own = least.select(F.col("c").alias("u"), F.col("m").alias("v"))
+    moved = linked if small else linked.where(F.col("v") > F.col("u"))
+    out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
+    return out.where(F.col("u") != F.col("v")).coalesce(tasks)
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame, most: int = 40, edges_per_task: int = 100_000) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): root is the least node of its component.
 
-    Loops and repeated edges don't matter; no edges give no rows.
+    Loops and repeated edges don't matter; no edges give no rows.  A small
+    graph is worked on in few tasks.
     """
     now = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(most):
-        sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        sign = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if sign == state or not sign[0]:
             break
         state = sign
-        now = cut(_star(_star(now, small=False), small=True))
+        tasks = 1 + sign[0] // edges_per_task
+        now = cut(_star(_star(now, False, tasks), True, tasks).distinct().coalesce(tasks))
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))

@@ -15,10 +15,12 @@ the threshold:
 Within a tile, bit counts of the hashed parity bitmaps bound the overlap from
 above; what passes is decided by the exact intersection of the sorted arrays,
 made anew from the texts.  First every class is compared with one leader of its
-tiles, which links groups of near copies as stars; then all pairs of a tile
-whose classes lie in different components so far are compared, in blocks.
-Pairs within one component need no comparison.  Components come from
-alternating stars over the links, so no group is ever held in one place.
+tiles, which links groups of near copies as stars.  Then every
+component of a tile is compared with its nearest neighbour there by bit counts
+(a step of Boruvka's), and at last all pairs of a tile whose classes still lie
+in different components, in blocks.  Pairs within one component need no
+comparison.  Components come from alternating stars over the links, so no group
+is ever held in one place.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .components import components
 from .textarrays import LOWERED, Prefix, chunks, mix, shingles, words
 
 WORDS, PERCENT = 5, 75
 SMALL, ROWS, BANDS, BLOCK = 80, 3, 40, 1024
+#: Rounds of nearest neighbours, and up to how many documents' ids are broadcast (8 bytes each) to pick their texts.
+NEAREST_ROUNDS, BROADCAST_IDS = 1, 1_000_000
 _seeded = np.random.Generator(np.random.PCG64(7))
 MULTIPLIERS = _seeded.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -68,9 +72,9 @@ def keys(s: np.ndarray) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the hashes' last bits, in 64 to 65,536 bits, no fewer than hashes if that is possible."""
+    """Parity of the hashes' last bits, in 64 to 65,536 bits, four for every hash if that is possible."""
     bits = 64
-    while bits < len(s) and bits < 65_536:
+    while bits < 4 * len(s) and bits < 65_536:
         bits *= 2
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
@@ -82,13 +86,17 @@ def fold(m: np.ndarray, size: int) -> np.ndarray:
     return m
 
 
-def may_link(na, a: np.ndarray, nb, b: np.ndarray):
-    """Whether overlap <= (na + nb - differing bits) / 2 still allows the threshold (and so do the sizes)."""
+def overlap_bound(na, a: np.ndarray, nb, b: np.ndarray):
+    """The overlap is at most (na + nb - differing bits) / 2, and no more than the smaller set."""
     size = min(a.shape[-1], b.shape[-1])
     differ = np.bitwise_count(fold(a, size) ^ fold(b, size)).sum(-1, dtype=np.int64)
-    both = na + nb
-    most = np.minimum((both - differ) // 2, np.minimum(na, nb))
-    return 100 * most >= PERCENT * (both - most)
+    return np.minimum((na + nb - differ) // 2, np.minimum(na, nb))
+
+
+def may_link(na, a: np.ndarray, nb, b: np.ndarray):
+    """Whether the bound still allows the threshold."""
+    most = overlap_bound(na, a, nb, b)
+    return 100 * most >= PERCENT * (na + nb - most)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -109,11 +117,11 @@ def described(docs: DataFrame) -> DataFrame:
                 sig.append(bitmap(s) if len(s) else None)
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(ks, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n", "cls", "keys", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(rows, "doc_id long, n long, cls long, keys binary, sig binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(rows, "doc_id long, n long, cls long, keys binary, sig binary")
 
 
 def tile_rows(classes: DataFrame) -> DataFrame:
-    """(key, cls) for the keys that more than one class has."""
+    """(key, cls, m, leader) for the keys that more than one class has; of tiles with the same classes only one."""
 
     def rows(batches):
         for b in batches:
@@ -123,8 +131,10 @@ def tile_rows(classes: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(key), pa.array(np.repeat(b.column(0).to_numpy(), counts))], names=["key", "cls"])
 
     each = classes.select("cls", "keys").mapInArrow(rows, "key long, cls long")
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("leader")).where("m > 1")
-    return each.join(shared, "key")
+    marks = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (1, 2)]  # 128 bits name the set
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("leader"), *marks).where("m > 1")
+    once = shared.groupBy("m", "leader", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m", "leader")
+    return each.join(once, "key")
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -146,6 +156,9 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``bounded`` whose texts link."""
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("binary").alias("__text"))
+    wanted = pairs.select(F.col("ra").alias("__w")).union(pairs.select("rb")).distinct()
+    if wanted.count() <= BROADCAST_IDS:  # else all texts are shuffled
+        texts = texts.join(F.broadcast(wanted), F.col("__id").eqNullSafe(F.col("__w")), "left_semi")
     half = pairs.join(texts.withColumnRenamed("__text", "ta"), F.col("ra").eqNullSafe(F.col("__id"))).drop("__id")
     full = half.join(texts.withColumnRenamed("__text", "tb"), F.col("rb").eqNullSafe(F.col("__id"))).drop("__id")
 
@@ -183,16 +196,19 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return full.select("a", "ta", "b", "tb").mapInArrow(rows, "a long, b long").distinct()
 
 
-def cross_pairs(tiles: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of classes that share a tile, lie in different components and pass the bounds."""
+def cross_pairs(tiles: DataFrame, classes: DataFrame, roots: DataFrame, nearest: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of classes that share a tile, lie in different components and pass the bounds.
+
+    ``nearest``: of each component only its nearest pair in the tile (in each pair of blocks).
+    """
     known = roots.select(F.col("node").alias("cls"), "root")
     at = tiles.select("key", "cls").join(known, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     mixed = at.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1")
-    rows = at.join(mixed.select("key", "m"), "key").join(classes.select("cls", "n", "sig"), "cls")
+    rows = at.join(mixed.select("key", "m"), "key").join(classes.select("cls", "n", "sig", "keys"), "cls")
     # a tile of m classes is cut into blocks; every pair of blocks is a task's work of bounded size
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    rows = rows.select("key", "cls", "root", "n", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("key", "cls", "root", "n", "sig", "keys", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
     def compare(t: pa.Table) -> pa.Table:
@@ -200,20 +216,44 @@ def cross_pairs(tiles: DataFrame, classes: DataFrame, roots: DataFrame) -> DataF
         sig = [np.frombuffer(x, np.uint8) for x in t.column("sig").to_pylist()]
         order = np.argsort(n, kind="stable")
         cls, root, n, own, sig = cls[order], root[order], n[order], own[order], [sig[i] for i in order]
-        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        out_a, out_b = [], []
+        p, q, key = (t.column(c)[0].as_py() for c in ("p", "q", "key"))
+        known = [np.frombuffer(x, np.int64) for x in t.column("keys").to_pylist()]
+        known = [known[i] for i in order]
+        banded = np.array([len(k) == BANDS for k in known])
+        bands = np.stack([k if b else np.full(BANDS, -1) for k, b in zip(known, banded)])
+        lengths = np.array([len(x) for x in sig])
+        stacks = [(at, np.stack([sig[j] for j in at])) for size in np.unique(lengths) for at in [np.flatnonzero(lengths == size)]]
+        out_a, out_b, best = [], [], {}
         for i in range(len(cls)):
             # the band of sizes that can reach the threshold, larger ones only; blocks p and q meet each other, p = q itself
             end = int(np.searchsorted(n, n[i] * 100 // PERCENT, "right"))
-            js = np.arange(i + 1, end)
-            js = js[(root[js] != root[i]) & ((own[js] != own[i]) if p != q else True) & (cls[js] != cls[i])]
-            if not len(js):
-                continue
-            for size in {len(sig[j]) for j in js}:
-                same = np.array([j for j in js if len(sig[j]) == size])
-                ok = may_link(n[i], sig[i], n[same], np.stack([sig[j] for j in same]))
-                out_a += [int(cls[i])] * int(ok.sum())
-                out_b += cls[same[ok]].tolist()
+            for at, stack in stacks:
+                lo, hi = np.searchsorted(at, [i + 1, end])
+                js = at[lo:hi]
+                fit = root[js] != root[i]
+                if p != q:
+                    fit &= own[js] != own[i]
+                if not fit.any():
+                    continue
+                js, rows = js[fit], stack[lo:hi][fit]
+                most = overlap_bound(n[i], sig[i], n[js], rows)
+                both = n[i] + n[js]
+                ok = 100 * most >= PERCENT * (both - most)
+                js, far = js[ok], 1 - most[ok] / (both[ok] - most[ok])
+                if nearest:
+                    order = np.argsort(far, kind="stable")
+                    ends = [(root[i], order[:1]), *((r, order[k : k + 1]) for r, k in zip(*np.unique(root[js][order], return_index=True)))]
+                    for r, k in ends:
+                        if len(k) and (r not in best or far[k[0]] < best[r][0]):
+                            best[r] = (far[k[0]], int(cls[i]), int(cls[js[k[0]]]))
+                else:
+                    if banded[i]:  # a pair is emitted only in the tile of its least common key, which is never a left out tile
+                        same = np.where(bands[js] == bands[i], bands[i], np.iinfo(np.int64).max).min(1)
+                        js = js[~banded[js] | (same == key)]
+                    out_a += [int(cls[i])] * len(js)
+                    out_b += cls[js].tolist()
+        if nearest:
+            out_a, out_b = [x[1] for x in best.values()], [x[2] for x in best.values()]
         a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -235,17 +275,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def class_components(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(cls, component_id) of every class."""
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-    classes = cut(classes)
-    tiles = cut(tile_rows(classes))
-    stars = tiles.where("cls <> leader").groupBy("cls").agg(F.min("leader").alias("b")).select(F.col("cls").alias("a"), "b")
-    links = cut(verified(bounded(stars, classes), docs))
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rest = cross_pairs(tiles, classes, roots).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = cut(verified(bounded(rest, classes), docs))
-    if not more.isEmpty():
-        both = links.unionByName(more)
-        roots = components(both.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = rows.where("cls is not null").groupBy("cls")
+    tiles = cut(tile_rows(named.agg(F.first("keys").alias("keys"))))
+    classes = cut(named.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
+    stars = tiles.where("cls <> leader").groupBy("cls").agg(F.min("leader").alias("b")).select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"))
+    tested = links = roots = None
+    for step in range(NEAREST_ROUNDS + 2):
+        if step:
+            pairs = cross_pairs(tiles, classes, roots, nearest=step <= NEAREST_ROUNDS).join(tested, ["a", "b"], "left_anti")
+        else:
+            pairs = stars
+        pairs = cut(bounded(pairs, classes))
+        if step and pairs.isEmpty():
+            if step <= NEAREST_ROUNDS:
+                continue
+            break
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        more = cut(verified(pairs, docs))
+        links = more if links is None else links.unionByName(more)
+        if step == 0 or not more.isEmpty():
+            roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     return named.join(least, "root").select("cls", "component_id")
