@@ -468,7 +468,10 @@ class Collection:
                 done.append((path, data))
         except Exception:
             for path, data in reversed(done):
-                self.files.write(path, data)
+                if data is None:  # it wasn't there before
+                    self.files.delete(path)
+                else:
+                    self.files.write(path, data)
             raise
 
     @traced
