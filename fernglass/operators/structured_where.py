@@ -14,8 +14,8 @@ from ..functions.values import DYN, NUMBERS, Val, as_kind, convert, dyn_list, is
 NAMES = {"starts_with": "startsWith", "ends_with": "endsWith", "const": "eq", "contains_all": "containsAll", "contains_any": "containsAny"}
 
 
-def structured_where(condition: dict, value: Callable[[str], Val | None], *, expression: Callable[[str], Column] | None = None, present: Callable[[str], Column] | None = None, null_exists: bool = True) -> Column:
-    """A boolean Column, never NULL.
+def structured_where(condition: dict, value: Callable[[str], Val | None], *, expression: Callable[[str], Column] | None = None, present: Callable[[str], Column] | None = None, null_exists: bool = True, total: bool = True) -> Column:
+    """A boolean Column, never NULL; with ``total=False`` NULL may stand for false, as a filter takes it, which lets conditions reach the scan.
 
     ``value`` gives the value of a field reference (None: no record has it),
     ``expression`` compiles nested expression texts, ``present`` says whether
@@ -24,10 +24,10 @@ def structured_where(condition: dict, value: Callable[[str], Val | None], *, exp
     parts = []
     for key, want in condition.items():
         if key in ("and", "or"):
-            inner = [structured_where(c, value, expression=expression, present=present, null_exists=null_exists) for c in want]
-            joined = F.lit(key == "and")
-            for c in inner:
-                joined = joined & c if key == "and" else joined | c
+            inner = [structured_where(c, value, expression=expression, present=present, null_exists=null_exists, total=total) for c in want]
+            joined = _all(inner) if key == "and" else inner[0] if inner else F.lit(False)
+            for c in inner[1:] if key == "or" else ():
+                joined = joined | c
             parts.append(joined)
         elif key == "not":
             parts.append(~structured_where(want, value, expression=expression, present=present, null_exists=null_exists))
@@ -35,24 +35,29 @@ def structured_where(condition: dict, value: Callable[[str], Val | None], *, exp
             text = want if isinstance(want, str) else want.get("$expr", "")
             parts.append(F.coalesce(expression(text), F.lit(False)))
         else:
-            parts.append(_field(key, want, value, present, null_exists))
-    out = F.lit(True)
-    for p in parts:
+            parts.append(_field(key, want, value, present, null_exists, total))
+    out = _all(parts)
+    return F.coalesce(out, F.lit(False)) if total else out
+
+
+def _all(parts: list[Column]) -> Column:
+    if not parts:
+        return F.lit(True)
+    out = parts[0]
+    for p in parts[1:]:
         out = out & p
-    return F.coalesce(out, F.lit(False))
+    return out
 
 
-def _field(ref: str, want, value, present, null_exists: bool) -> Column:
+def _field(ref: str, want, value, present, null_exists: bool, total: bool) -> Column:
     v = value(ref)
     there = present(ref) if present else (F.lit(False) if v is None else v.col.isNotNull())
     if v is None:
         v = literal(None, "null")
     if not isinstance(want, dict):
         return there & same(v, constant(want))
-    out = F.lit(True)
-    for op, arg in want.items():
-        out = out & F.coalesce(operator(NAMES.get(op, op), v, arg, there, null_exists), F.lit(False))
-    return out
+    tests = [operator(NAMES.get(op, op), v, arg, there, null_exists) for op, arg in want.items()]
+    return _all([F.coalesce(t, F.lit(False)) for t in tests] if total else tests)
 
 
 def constant(x) -> Val:

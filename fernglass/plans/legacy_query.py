@@ -119,7 +119,7 @@ def execute_legacy(records: Records, query: dict, *, enums: dict[str, list[str]]
             p.df = p.df.where(v.col if v.kind == "bool" else legacy.truthy(v))
         elif where:
             inner = lambda e: legacy.truthy(legacy.compile_expression(e, scope))
-            p.df = p.df.where(structured_where(where, lambda ref: path_of_field(F.col("fields"), t, ref), expression=inner, present=lambda ref: present(F.col("fields"), t, ref), null_exists=False))
+            p.df = p.df.where(structured_where(where, lambda ref: path_of_field(F.col("fields"), t, ref), expression=inner, present=lambda ref: present(F.col("fields"), t, ref), null_exists=False, total=False))
     except ExpressionError as e:
         raise QueryError([Diagnostic(e.code, str(e))]) from e
 
