@@ -317,9 +317,9 @@ def _with_props(spark, d) -> Records:
     return records(spark, d, "events", df)
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) + 1 AS k1, CAST(json_extract(props, '$.k') AS BIGINT) > 50 AS big FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0 OR CAST(json_extract(props, '$.k') AS BIGINT) > 80""")
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) + 1 AS k1, CAST(json_extract(props, '$.k') AS BIGINT) % 3 AS r, CAST(json_extract(props, '$.k') AS BIGINT) > 50 AS big FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) <> 7 AND CAST(json_extract(props, '$.k') AS BIGINT) > 20""")
 def json_field(spark, d):
-    q = run(_with_props(spark, d), where="int(props.k) % 3 == 0 || props.k > 80", select=["event_id", {"name": "k1", "expr": "double(props.k) + 1.0"}, {"name": "big", "expr": "props.k > 50"}])
+    q = run(_with_props(spark, d), where="props.k != 7 && props.k > 20", select=["event_id", {"name": "k1", "expr": "double(props.k) + 1.0"}, {"name": "r", "expr": "int(props.k) % 3"}, {"name": "big", "expr": "props.k > 50"}])
     return q.values
 
 
