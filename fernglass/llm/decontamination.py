@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textarrays import LOWERED, SHINGLE, Prefix, U, chunks, mix, words
 
 K, LITERALS, NEEDED, BLOCK = 8, 4, 4, 500_000
@@ -233,7 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 got = [(ids[r].as_py(), *x) for r, found in scan(b.column(1), index) for x in found]
                 yield pa.record_batch([pa.array([g[i] for g in got], pa.int64()) for i in range(len(names))], names=names)
 
-        part = src.mapInArrow(rows, SCHEMA)
+        part = small_batches(src).mapInArrow(rows, SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
@@ -248,7 +249,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[r for r, _ in scan(b.column("text"), index)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(rows, docs.schema)
+        docs = small_batches(docs).mapInArrow(rows, docs.schema)
     return docs
 
 

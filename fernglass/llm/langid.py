@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_fraction
+from .common import hash_fraction, small_batches
 from .textarrays import LOWERED, chunks
 
 BUCKETS, WIDTH, GRAMS = 4096, 16, (1, 2, 3, 4)
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.record_batch([b.column(1).cast(pa.string()), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["lang", "at", "n"])
 
     got = []
-    for r in rows.mapInArrow(histograms, "lang string, at array<int>, n array<long>").toLocalIterator():
+    for r in small_batches(rows).mapInArrow(histograms, "lang string, at array<int>, n array<long>").toLocalIterator():
         h = np.zeros(BUCKETS, np.int32)
         h[r["at"]] = np.minimum(r["n"], 1 << 30)
         got.append((r["lang"], h))
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), held.alias("held_out"))
-    return src.mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return small_batches(src).mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .textarrays import SHINGLE, SPACE, Prefix, chunks, mix, words
 
 RUN = 3
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def _ids(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.col("text").cast("binary").alias("text"))
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.col("text").cast("binary").alias("text"))
 
 
 def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BLOCK, RATE, FRAME, HOP, GROUP, PEAKS, FAN = 64, 8000, 256, 128, 8, 2, 2
 
 
@@ -139,7 +141,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     fields = [pa.field(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in schema.split(", ")]
     names = [f.name for f in fields]
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return src.mapInArrow(rows, schema)
+    return small_batches(src).mapInArrow(rows, schema)
 
 
 def op6(spark, sf_dir):

@@ -62,7 +62,7 @@ class Prefix:
         return mix((self.sums[k:] - self.sums[: n - k + 1]) * self.down[: n - k + 1])
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, most: int = 4 << 20):
+def chunks(column: pa.Array | pa.ChunkedArray, most: int = 1 << 19):
     """(first row, bytes, offsets) of consecutive rows; a chunk has ``most`` bytes or is one long text.
 
     A null is an empty text.  The offsets start at 0.

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, hash_fraction
+from .common import ascii_lower, cut, hash_fraction, small_batches
 
 HEAD, WINDOW, SHIFT = 10, 128, 37
 #: Bounds of the fitting sample (labelled rows) and of the dictionaries' heads.
@@ -37,11 +37,11 @@ COMPRESS = dict(window_log=15, chain_log=14, hash_log=15, search_log=5, min_matc
 
 
 class Coder(dict):
-    """word -> coded head, remembered for up to a million words."""
+    """word -> coded head, remembered for up to 200,000 words."""
 
     def __missing__(self, word: bytes) -> bytes:
         out = bytes((b + SHIFT * j) & 255 for j, b in enumerate((b" " + word + b" ")[:HEAD]))
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = out
         return out
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         for b in batches:
             yield pa.record_batch([pa.array([at.features(t.as_py().encode()) for t in b.column(0)], pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    got = rows.where("not __build").select("text", F.col("__toxic").cast("int")).mapInArrow(features, "x array<double>, y int").collect()
+    got = small_batches(rows).where("not __build").select("text", F.col("__toxic").cast("int")).mapInArrow(features, "x array<double>, y int").collect()
     if got:
         model.calibrate(np.array([r["x"] for r in got]), np.array([int(r["y"] == 1) for r in got]))
     return model
@@ -186,9 +186,9 @@ def predict(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFra
             yield b.filter(pa.array(model.score(measured(at, b.column("text"))) < 0.5)) if model else b
 
     if keep:
-        return docs.mapInArrow(kept, docs.schema)
+        return small_batches(docs).mapInArrow(kept, docs.schema)
     src = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    return src.mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int, n_windows long")
+    return small_batches(src).mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int, n_windows long")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
