@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .textarrays import Prefix, U, chunks, mix, window_min
 
 LENGTH, GRAM = 50, 20
@@ -156,14 +156,14 @@ def marks_of(runs_prefix: Prefix, off: np.ndarray) -> np.ndarray:
 
 def run_messages(docs: DataFrame, parts: int) -> DataFrame:
     def rows(batches):
-        for b in batches:
-            held, size, base = [], 0, 0
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        held, size, base = [], 0, 0
 
-            def flush():
-                doc, mark, text, code, anchor = (np.concatenate(x) for x in zip(*held))
-                return table_of(message_rows(doc, mark, text, code, anchor, parts), MESSAGE).to_batches()
+        def flush():
+            doc, mark, text, code, anchor = (np.concatenate(x) for x in zip(*held))
+            return table_of(message_rows(doc, mark, text, code, anchor, parts), MESSAGE).to_batches()
 
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, data, off in chunks(b.column(1), CHUNK):
                 r = Runs(data, off)
                 n = len(off) - 1
@@ -172,8 +172,8 @@ def run_messages(docs: DataFrame, parts: int) -> DataFrame:
                 if size >= MESSAGE_BYTES:
                     yield from flush()
                     held, size, base = [], 0, 0
-            if held:
-                yield from flush()
+        if held:
+            yield from flush()
 
     return docs.mapInArrow(rows, MESSAGE)
 
@@ -254,16 +254,27 @@ def texts_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
 
     def rows(batches):
         press = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            bucket = bucket_of(own, buckets)
-            out = []
+
+        def packed(held):
+            own, texts = np.concatenate([h[0] for h in held]), [t for h in held for t in h[1]]
+            bucket, out = bucket_of(own, buckets), []
             for at in np.unique(bucket):
                 rows = np.flatnonzero(bucket == at)
-                texts = [x or b"" for x in b.column(1).take(pa.array(rows)).to_pylist()]
-                sizes = np.array([len(x) for x in texts], np.int64)
-                out.append((int(at), own[rows].tobytes(), sizes.tobytes(), press.compress(b"".join(texts))))
-            yield from table_of(out, TEXTS).to_batches()
+                mine = [texts[i] for i in rows]
+                sizes = np.array([len(x) for x in mine], np.int64)
+                out.append((int(at), own[rows].tobytes(), sizes.tobytes(), press.compress(b"".join(mine))))
+            return table_of(out, TEXTS).to_batches()
+
+        held, size = [], 0
+        for b in batches:
+            texts = [x or b"" for x in b.column(1).to_pylist()]
+            held.append((b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), texts))
+            size += sum(map(len, texts))
+            if size >= MESSAGE_BYTES:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
 
     return docs.select(ids.alias("doc"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, TEXTS)
 
@@ -352,7 +363,7 @@ def remove_repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
     * rows with one doc_id never lose anything to each other; repeated rows are repeated.
     * an empty table gives no rows.
     """
-    total = docs.select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    total = small_batches(docs).select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = min(MAX_PARTS, max(8, -(-total // (PART_MB << 20))))
     buckets = max(8, -(-total // (BUCKET_MB << 20)))
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
