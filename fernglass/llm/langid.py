@@ -106,19 +106,24 @@ def _flat(hist: np.ndarray) -> tuple[list[int], list[int]]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Train on at most ``sample`` rows with text and lang; only text and lang are looked at (doc_id seeds the draw)."""
-    rows = docs.where("text is not null and lang is not null")
-    rows = rows.orderBy(hash_fraction(F.col("doc_id"), F.lit("language sample")), "doc_id").select("text", "lang").limit(sample)
+    labelled = docs.where("text is not null and lang is not null")
+    u = hash_fraction(F.col("doc_id"), F.lit("language sample"))
+    # ids are drawn without their texts; at most ``sample`` of them are broadcast
+    drawn = labelled.select(F.col("doc_id").alias("__id"), u.alias("__u")).distinct().orderBy("__u", "__id").limit(sample)
+    rows = labelled.join(F.broadcast(drawn), F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "lang", "__u")
 
     def histograms(batches):
         for b in batches:
             made = [_flat(histogram(np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8))) for t in b.column(0)]
-            yield pa.record_batch([b.column(1).cast(pa.string()), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["lang", "at", "n"])
+            yield pa.record_batch([b.column(1).cast(pa.string()), b.column(2), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["lang", "u", "at", "n"])
 
-    got = []
-    for r in small_batches(rows).mapInArrow(histograms, "lang string, at array<int>, n array<long>").toLocalIterator():
+    found = small_batches(rows).mapInArrow(histograms, "lang string, u double, at array<int>, n array<long>").toArrow().combine_chunks()
+    langs, draws, got = found.column("lang").to_pylist(), found.column("u").to_pylist(), []
+    at, n = found.column("at"), found.column("n")
+    for i in sorted(range(len(langs)), key=lambda i: (draws[i], langs[i], len(at[i])))[:sample]:  # rows of one id may be several
         h = np.zeros(BUCKETS, np.int32)
-        h[r["at"]] = np.minimum(r["n"], 1 << 30)
-        got.append((r["lang"], h))
+        h[at[i].values.to_numpy()] = np.minimum(n[i].values.to_numpy(), 1 << 30)
+        got.append((langs[i], h))
     return train(got)
 
 
