@@ -1,13 +1,14 @@
 """Sharding by sampled splitters.
 
-Records are ordered by (hash of the text, doc_id), so equal texts are
-neighbours.  Size-weighted samples of that key give quantile splitters for many
-fine ranges; a range that turns out overfull is subdivided at further samples
-of its own.  Exact sizes of the ranges and a running sum within each range give
+Records are ordered by (hash of the text, doc_id, number of the row), so equal
+texts are neighbours and no two records share a key.  Size-weighted samples of
+that key give quantile splitters for many fine ranges; a range that turns out
+overfull is subdivided at further samples of its own until none is.  Exact sizes of the ranges and a running sum within each range give
 every record its exact place in the global order of bytes, which fixes its
 shard (``n`` equal parts of all bytes) and its slot.  The splitters, the ranges'
 sums and the shards' first ranks are the only things the driver sees, and
-their number is bounded by ``max_ranges``.
+their number is of the order of ``max_ranges``: only a range above twice the
+even share gains splitters, and there are fewer than half as many of those.
 """
 
 from __future__ import annotations
@@ -20,34 +21,41 @@ from pyspark.sql import functions as F
 from .common import cut, hash_fraction
 
 LOWEST = -(1 << 63)
+KEY = ("__k1", "__k2", "__k3")
 
 
-def place(k1: np.ndarray, k2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
-    """For each key the number of splitters that are not above it."""
-    lo, hi = np.searchsorted(s1, k1, "left"), np.searchsorted(s1, k1, "right")
+def key_of(keyed: DataFrame) -> list[str]:
+    return [c for c in KEY if c in keyed.columns]
+
+
+def place(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
+    """For each key (its parts, the first decides first) the number of splitters that are not above it."""
+    lo, hi = np.searchsorted(splitters[0], keys[0], "left"), np.searchsorted(splitters[0], keys[0], "right")
+    if len(keys) == 1:
+        return hi
     out = hi.copy()
-    for at in np.unique(lo[hi > lo]):  # keys that share their hash with splitters: the id decides
+    for at in np.unique(lo[hi > lo]):  # keys that share their first part with splitters: the others decide
         rows = np.flatnonzero((lo == at) & (hi > lo))
-        out[rows] = at + np.searchsorted(s2[at : hi[rows[0]]], k2[rows], "right")
+        out[rows] = at + place([k[rows] for k in keys[1:]], [s[at : hi[rows[0]]] for s in splitters[1:]])
     return out
 
 
-def range_of(splitters: list[tuple[int, int]]):
-    s = np.array(splitters, dtype=np.int64).reshape(-1, 2)
-    s1, s2 = s[:, 0].copy(), s[:, 1].copy()
+def range_of(splitters: list[tuple], width: int):
+    parts = [c.copy() for c in np.array(splitters, dtype=np.int64).reshape(-1, width).T]
 
     @F.pandas_udf("int")
-    def f(k1: pd.Series, k2: pd.Series) -> pd.Series:
-        return pd.Series(place(k1.to_numpy(np.int64), k2.to_numpy(np.int64), s1, s2).astype(np.int32))
+    def f(key: pd.DataFrame) -> pd.Series:
+        return pd.Series(place([key.iloc[:, i].to_numpy(np.int64) for i in range(width)], parts).astype(np.int32))
 
     return f
 
 
-def weighted_samples(keyed: DataFrame, n: int) -> list[tuple[int, int]]:
+def weighted_samples(keyed: DataFrame, n: int) -> list[tuple]:
     """At most ``n`` keys, drawn without replacement with weights ``size``; the draw is a hash of the key."""
-    u = (hash_fraction(F.col("__k1"), F.col("__k2")) * 4294967296.0 + 0.5) / 4294967296.0
-    rows = keyed.select("__k1", "__k2", (-F.log(u) / F.col("size")).alias("__e")).orderBy("__e", "__k1", "__k2").limit(n)
-    return sorted({(r["__k1"], r["__k2"]) for r in rows.collect()})
+    key = key_of(keyed)
+    u = (hash_fraction(*[F.col(c) for c in key]) * 4294967296.0 + 0.5) / 4294967296.0
+    rows = keyed.select(*key, (-F.log(u) / F.col("size")).alias("__e")).orderBy("__e", *key).limit(n)
+    return sorted({tuple(r[c] for c in key) for r in rows.collect()})
 
 
 def quantiles(samples: list, parts: int) -> list:
@@ -57,23 +65,28 @@ def quantiles(samples: list, parts: int) -> list:
 
 
 def split_ranges(keyed: DataFrame, rows_per_range: int, max_ranges: int, samples_per_range: int = 24):
-    """(splitters, [(range, bytes, rows)]): sampled splitters, overfull ranges subdivided."""
+    """(splitters, [(range, bytes, rows)]): sampled splitters, overfull ranges subdivided until none can be.
+
+    The sums are those of the splitters returned.  Of several rows with one key (where ``keyed``
+    has no ``__k3``) a range of its own is final.
+    """
+    key = key_of(keyed)
     n, total = keyed.agg(F.count(F.lit(1)), F.sum("size")).first()
     parts = max(32, min(max_ranges, -(-n // rows_per_range)))
     splitters = quantiles(weighted_samples(keyed, parts * samples_per_range), parts)
-    for _ in range(4):
-        at = range_of(splitters)("__k1", "__k2")
-        found = keyed.groupBy(at.alias("__range")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.max("size").alias("m")).collect()
+    while True:
+        at = range_of(splitters, len(key))(F.struct(*key))
+        low, high = F.min(F.struct(*key)), F.max(F.struct(*key))
+        found = keyed.groupBy(at.alias("__range")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.max("size").alias("m"), (low < high).alias("divisible")).collect()
         # a range with one giant record can't be made smaller
-        over = [r for r in found if r["b"] > 2 * total / parts + r["m"] and r["n"] > 1]
-        if not over or len(splitters) >= 2 * max_ranges:
-            break
-        inside = keyed.where(at.isin([r["__range"] for r in over]))
-        more = weighted_samples(inside, samples_per_range * len(over))
-        new = sorted(set(splitters) | set(quantiles(more, 4 * len(over))))
-        if len(new) == len(splitters):
+        over = [r["__range"] for r in found if r["b"] > 2 * total / parts + r["m"] and r["divisible"]]
+        if not over:
             break
-        splitters = new
+        more = weighted_samples(keyed.where(at.isin(over)), samples_per_range * len(over))
+        new = set(quantiles(more, 4 * len(over))) - set(splitters)
+        # the least key of a range may be its splitter; others are among the samples, or all keys are the same few
+        new = new or set(more) - set(splitters)
+        splitters = sorted(set(splitters) | new)
     return splitters, sorted((r["__range"], r["b"], r["n"]) for r in found)
 
 
@@ -94,6 +107,7 @@ def shard(docs: DataFrame, shards: int = 16, rows_per_range: int = 4096, max_ran
         F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).cast("long").alias("text_crc32"),
         F.when(F.col("text").isNull(), F.lit(LOWEST)).otherwise(F.xxhash64("text")).alias("__k1"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("__k2"),
+        F.monotonically_increasing_id().alias("__k3"),  # fixed by the checkpoint
     )
     keyed = cut(keyed)
     spark = docs.sparkSession
@@ -103,8 +117,8 @@ def shard(docs: DataFrame, shards: int = 16, rows_per_range: int = 4096, max_ran
         offsets.append((r, b0, n0))
         b0, n0 = b0 + b, n0 + n
     before = spark.createDataFrame(offsets, "__r int, __b0 long, __n0 long")
-    placed = keyed.withColumn("__range", range_of(splitters)("__k1", "__k2"))
-    w = Window.partitionBy("__range").orderBy("__k1", "__k2")
+    placed = keyed.withColumn("__range", range_of(splitters, len(KEY))(F.struct(*KEY)))
+    w = Window.partitionBy("__range").orderBy(*KEY)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("__in", F.sum("size").over(run) - F.col("size")).withColumn("__rank", F.row_number().over(w) - 1)
     placed = placed.join(F.broadcast(before), placed["__range"] == before["__r"])  # max_ranges bounds it

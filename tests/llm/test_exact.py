@@ -348,6 +348,30 @@ def test_overfull_ranges_are_subdivided(make):
     assert max(b for _, b, _ in ranges) <= 2 * total / 32 + 1000 and sum(n for _, _, n in ranges) == 600
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_rows_of_one_key_are_all_placed(make, doc_id):
+    rows = [(doc_id, "the very same text")] * 4000 + [(1000 + i, f"text {i}") for i in range(8000)]
+    got = sharding.shard(make(rows).repartition(4)).collect()
+    assert len(got) == len(rows)
+    per = {}
+    for r in got:
+        per.setdefault(r["shard"], []).append((r["slot"], r["size"]))
+    assert set(per) == set(range(16)) and all(sorted(s for s, _ in x) == list(range(len(x))) for x in per.values())
+    total = sum(len(t) + 1 for _, t in rows)
+    assert all(abs(sum(z for _, z in x) - total / 16) <= 19 for x in per.values())
+
+
+def test_ranges_of_one_key_are_final(make):
+    from pyspark.sql import functions as F
+
+    keyed = make([(i // 3 * 3 if i > 400 else 7, "x") for i in range(1200)]).select(F.lit(1).cast("long").alias("__k1"), F.col("doc_id").alias("__k2"), F.lit(5).cast("long").alias("size"))
+    splitters, ranges = sharding.split_ranges(keyed, 8, 256)
+    assert sum(n for _, _, n in ranges) == 1200 and sum(b for _, b, _ in ranges) == 6000 and all(r <= len(splitters) for r, _, _ in ranges)
+    at = sharding.range_of(splitters, 2)(F.struct("__k1", "__k2"))
+    found = keyed.groupBy(at.alias("r")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
+    assert sorted(tuple(r) for r in found.collect()) == ranges
+
+
 @pytest.mark.parametrize("f", [mixing.mix, ngram_join.jaccard_components, line_dedup.dedup_lines, media.media_columns, suffix_dedup.remove_repeats, license_scan.scan, sharding.shard, mixing.emit, ngram_join.one_of_each])
 def test_empty_table(make, f):
     assert f(make([])).count() == 0
