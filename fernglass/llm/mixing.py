@@ -53,7 +53,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, total_share: float = 1.5,
 
 
 def draw_copies(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Adds source_size, target, rate and copies to rows of (doc_id, source, size)."""
+    """Adds source_size, target, rate and copies to rows of (doc_id, source, size, ..)."""
     t = targets.select(F.col("source").alias("__s"), "source_size", "target", "n_docs")
     # planned as a shuffle join; the engine broadcasts ``t`` only if its measured size is small,
     # and splits a hot source otherwise
@@ -66,13 +66,13 @@ def draw_copies(sized: DataFrame, targets: DataFrame) -> DataFrame:
     k = F.row_number().over(w)
     h = hash_fraction(F.col("source"), F.col("__stratum"))
     copies = F.floor(h + k * F.col("rate")) - F.floor(h + (k - 1) * F.col("rate"))
-    return rows.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
+    return rows.withColumn("copies", copies.cast("long")).select(*sized.columns, "source_size", "target", "rate", "copies")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of the whole text, 0 for null."""
+def sizes(docs: DataFrame, *more) -> DataFrame:
+    """(doc_id, source, size, *more): words of the whole text, 0 for null."""
     n = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id"), F.col("source"), n.alias("size"))
+    return docs.select(F.col("doc_id"), F.col("source"), n.alias("size"), *more)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = 1.5, max_rate: float = 2.0) -> DataFrame:
@@ -91,11 +91,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = 1.5, max_rate: fl
 def emit(docs: DataFrame, weights=WEIGHTS, total_share: float = 1.5, max_rate: float = 2.0) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it was drawn, in its own columns.
 
-    Rows that share a doc_id share their number of copies (that of the least drawn).
+    Rows are told apart by doc_id, source and text.  Of rows that are equal in
+    all three, each gets the floor or the ceiling of their mean, and together
+    they get what they were drawn; they meet in one task, which spills.
     """
-    drawn = mix(docs, weights, total_share, max_rate).groupBy("doc_id").agg(F.min("copies").alias("__n"))
-    drawn = drawn.where("__n > 0").withColumnRenamed("doc_id", "__id")
-    out = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["__id"]))
+    mark = F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "text", F.col("text").isNull())
+    sized = cut(sizes(docs, mark.alias("__mark")))
+    drawn = draw_copies(sized, source_targets(sized, weights, total_share, max_rate))
+    drawn = drawn.groupBy("__mark").agg(F.sum("copies").alias("__n"), F.count(F.lit(1)).alias("__rows")).where("__n > 0")
+    out = docs.withColumn("__own", mark).join(drawn, F.col("__own") == F.col("__mark"))
+    if not sized.groupBy("__mark").count().where("count > 1").isEmpty():
+        k = F.row_number().over(Window.partitionBy("__mark").orderBy("__own"))
+        upto = lambda i: F.expr(f"(__k - {i}) * __n div __rows")
+        out = out.withColumn("__k", k.cast("long")).withColumn("__n", upto(0) - upto(1)).where("__n > 0")
     # a copy is one row of the sequence 1..n, and n is at most max_rate + 1
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
     return out.select(*[out[c] for c in docs.columns])

@@ -188,6 +188,20 @@ def test_one_of_each(docs):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
+def test_emit_counts_every_row(make):
+    rows = [(None if i % 2 else i, f"text {'w ' * (i // 3 % 9)}{i}", "en", "abc"[i % 3]) for i in range(300)] + [(900, "again", "en", "b")] * 7
+    docs = make(rows).repartition(3).cache()
+    m = mixing.mix(docs).collect()
+    want, got = {}, {}
+    for r in m:  # equal rows may swap their numbers, so per source and size
+        want[(r["source"], r["size"])] = want.get((r["source"], r["size"]), 0) + r["copies"]
+    for r in mixing.emit(docs).collect():
+        at = (r["source"], len(WORD.findall(r["text"])))
+        got[at] = got.get(at, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert any(0 < r["rate"] < 1 for r in m) and any(r["copies"] == 0 and r["doc_id"] is None for r in m)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 105), (105, 101), (7, 7), (200, 200)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
