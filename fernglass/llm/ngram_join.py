@@ -105,7 +105,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls, keys, sig) of every row; cls names the set, 0-length sets have null."""
+    """(doc_id, mark, n, cls, keys, sig) of every row; mark names the text, cls the set; 0-length sets have null."""
 
     def rows(batches):
         for b in batches:
@@ -115,9 +115,9 @@ def described(docs: DataFrame) -> DataFrame:
                 cls.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
                 ks.append(keys(s).tobytes() if len(s) else None)
                 sig.append(bitmap(s) if len(s) else None)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(ks, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n", "cls", "keys", "sig"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(ks, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "mark", "n", "cls", "keys", "sig"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(rows, "doc_id long, n long, cls long, keys binary, sig binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text")).mapInArrow(rows, "doc_id long, mark long, n long, cls long, keys binary, sig binary")
 
 
 def tile_rows(classes: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def class_components(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cls, component_id) of every class."""
+    """(cls, component_id, root) of every class; root names the component, as several may have no id or the same."""
     named = rows.where("cls is not null").groupBy("cls")
     tiles = cut(tile_rows(named.agg(F.first("keys").alias("keys"))))
     classes = cut(named.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
@@ -297,7 +297,7 @@ def class_components(rows: DataFrame, docs: DataFrame) -> DataFrame:
             roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return named.join(least, "root").select("cls", "component_id")
+    return named.join(least, "root").select("cls", "component_id", "root")
 
 
 def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -306,18 +306,25 @@ def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least doc_id.
+    """``docs`` with one row of each component: the one with the least (doc_id, class, text hash), ids before null.
 
-    Rows that share that doc_id are one document and stay together only if they
-    are not copies of each other.  Texts without words all stay.
+    Of rows that are equal in doc_id and text one stays.  Texts without words
+    are linked with nothing and all stay.
     """
-    found = jaccard_components(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    keep = cut(keep.withColumnRenamed("doc_id", "__id"))
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    if keep.where("__rows > 1").isEmpty():
-        return out
-    return out.dropDuplicates([c for c, kind in docs.dtypes if c in ("doc_id", "text")])
+    rows = cut(described(docs))
+    found = class_components(rows, docs).select(F.col("cls").alias("__c"), "root")
+    each = rows.where("cls is not null").groupBy("doc_id", "cls", "mark").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "mark", "n")
+    first = each.join(found, F.col("cls") == F.col("__c")).groupBy("root").agg(F.min(place).alias("f"))
+    keep = first.select(F.col("f.doc_id").alias("__id"), F.col("f.mark").alias("__mark"), F.col("f.n").alias("__rows"))
+    wordless = rows.where("cls is null").select("doc_id", "mark").distinct()
+    keep = cut(keep.unionByName(wordless.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.lit(1).cast("long").alias("__rows"))))
+    out = docs.withColumn("__own", F.xxhash64("text"))
+    out = out.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")))
+    if not keep.where("__rows > 1").isEmpty():
+        # only rows of a text that stands several times are compared, all others have a number of their own
+        out = out.withColumn("__number", F.when(F.col("__rows") == 1, F.monotonically_increasing_id())).dropDuplicates(["__id", "__mark", "__number"])
+    return out.select(*[out[c] for c in docs.columns])
 
 
 def op2(spark, sf_dir):

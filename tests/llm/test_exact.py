@@ -202,6 +202,20 @@ def test_emit_counts_every_row(make):
     assert any(0 < r["rate"] < 1 for r in m) and any(r["copies"] == 0 and r["doc_id"] is None for r in m)
 
 
+def test_one_row_of_each_component(make):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(200)) for x in "abc")
+    near = lambda t, i: f"{t} and the end {i}"
+    rows = [(5, a), *((None, near(a, i)) for i in range(4))]  # the null ids are copies of 5
+    rows += [(None, near(b, i)) for i in range(4)] + [(None, near(b, 0))] * 2  # no id in the component
+    rows += [(7, c), (7, near(a, 9)), (8, near(c, 1))]  # 7 stands for c only
+    rows += [(None, None), (None, None), (None, " "), (9, ""), (9, "")]  # without words
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(make(rows).repartition(3)).collect()]
+    worded = [x for x in got if x[1] and x[1].strip()]
+    assert len(worded) == 3 and (5, a) in worded and (7, c) in worded
+    assert [d for d, t in worded if t.startswith("b0 ")] == [None]
+    assert len(got) - len(worded) == 5
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 105), (105, 101), (7, 7), (200, 200)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
