@@ -9,7 +9,9 @@ slots under a matched stretch must be filled consistently: one value of the
 item always meets the same value of the document.  So a re-parameterised
 question is found like a literal one, and a chance meeting of placeholders is
 not.  Windows are also looked up word for word without regard to case, as a
-text in capitals doesn't show its names.
+text in capitals doesn't show its names and an item may have few words besides
+numbers, names and units.  Template windows need LITERALS literal words; equal
+words are evidence whatever their kind.
 
 The benchmark is taken in blocks of at most ``BLOCK`` windows, which bounds
 what is sent to the executors however many items there are.
@@ -121,24 +123,23 @@ class Index:
         self.items, self.at, self.size = [], defaultdict(list), 0
 
     def add(self, item_id, text: str | None) -> None:
-        """Items with fewer than LITERALS literal words can't be told from ordinary text and are left out."""
+        """Items with fewer than LITERALS tokens can't be told from ordinary text and are left out."""
         t = _tokens(text or "")
         n = len(t.code)
-        literal = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
-        if literal[-1] < LITERALS:
+        if n < LITERALS:
             return
+        literal = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
         k = min(K, n)
         h, plain = t.windows(k), t.windows(k, plain=True)
-        usable = np.flatnonzero(literal[k:] - literal[: n - k + 1] >= LITERALS)
-        if not len(usable):
-            return
+        usable = set(np.flatnonzero(literal[k:] - literal[: n - k + 1] >= LITERALS).tolist())
         number = len(self.items)
         slots = {int(i): (int(t.kind[i]), t.value(i)) for i in np.flatnonzero(t.kind != LITERAL)}
-        self.items.append((item_id, len(usable), k, slots))
-        for q in usable:
-            for code in {int(h[q]), int(plain[q])}:
-                self.at[(k, code)].append((number, int(q)))
-        self.size += len(usable)
+        self.items.append((item_id, n - k + 1, usable, k, slots))
+        for q in range(n - k + 1):
+            self.at[(k, int(plain[q]))].append((number, q, True))
+            if q in usable and h[q] != plain[q]:
+                self.at[(k, int(h[q]))].append((number, q, False))
+        self.size += n - k + 1
 
     def lengths(self) -> dict[int, np.ndarray]:
         return {k: np.sort(np.array([h for kk, h in self.at if kk == k], np.uint64)) for k in {k for k, _ in self.at}}
@@ -155,24 +156,34 @@ def consistent(pairs: list[tuple[int, bytes, bytes]]) -> bool:
 
 def leaks(t: Tokens, text: int, hits: list[tuple[int, int, int]], index: Index) -> list[tuple]:
     """The items that one text holds: (item_id, windows found, windows of the item, first token, slots, changed slots)."""
-    runs: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
+    runs: dict[int, dict[int, tuple]] = defaultdict(lambda: defaultdict(lambda: (set(), set())))
     base = int(t.first[text])
     for k, h, p in hits:
-        for number, q in index.at[(k, h)]:
-            runs[number][p - q].add(q)
+        for number, q, same in index.at[(k, h)]:
+            alike, equal = runs[number][p - q]
+            if q in index.items[number][2]:
+                alike.add(q)
+            if same:
+                equal.add(q)
     out = []
     for number, by_offset in runs.items():
-        item_id, total, k, slots = index.items[number]
-        found, pairs, first = set(), [], None
-        for offset, qs in by_offset.items():
-            covered = {q + j for q in qs for j in range(k)}
-            own = [(slots[q][0], slots[q][1], t.value(offset + q)) for q in sorted(covered) if q in slots]
-            if consistent(own):
+        item_id, total, usable, k, slots = index.items[number]
+        found, template, literal, pairs, first = set(), set(), set(), [], None
+
+        def filled(qs, offset, k=k, slots=slots):
+            return [(slots[q][0], slots[q][1], t.value(offset + q)) for q in sorted({q + j for q in qs for j in range(k)}) if q in slots]
+
+        for offset, (alike, equal) in by_offset.items():
+            alike = alike if consistent(filled(alike, offset)) else set()
+            if qs := alike | equal:
                 found |= qs
-                pairs += own
+                template |= alike
+                literal |= equal
+                pairs += filled(qs, offset)
                 start = offset + min(qs) - base
                 first = start if first is None else min(first, start)
-        if len(found) >= min(total, NEEDED):
+        # enough template windows, or enough windows word for word
+        if (template and len(template) >= min(len(usable), NEEDED)) or len(literal) >= min(total, NEEDED):
             out.append((item_id, len(found), total, first, len(pairs), sum(a != b for _, a, b in pairs)))
     return out
 
@@ -215,12 +226,13 @@ SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, first_to
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for every document and item it holds: SCHEMA.
 
-    ``n_windows`` of the item's ``item_windows`` were found (at least NEEDED, or
-    all where it has fewer), ``n_changed`` of ``n_slots`` slots hold another
+    ``n_windows`` of the item's ``item_windows`` were found (at least NEEDED
+    template windows or NEEDED word for word, or all where it has fewer of
+    that kind), ``n_changed`` of ``n_slots`` slots hold another
     value than the item's.
 
     * null and empty texts hold nothing; null items and items with fewer than
-      LITERALS literal words match nothing; an empty table gives no rows.
+      LITERALS tokens match nothing; an empty table gives no rows.
     * repeated rows give repeated rows; null ids stay null.
     """
     src = docs.select(F.col("doc_id").cast("long"), "text")

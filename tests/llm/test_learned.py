@@ -96,6 +96,19 @@ def test_decontamination(make, spark):
     assert decontamination.contaminated(docs, b.where("item_id > 9")).count() == 0 and decontamination.clean(make([]), b).count() == 0
 
 
+def test_items_with_few_literals_are_found_word_for_word(make, spark):
+    items = [
+        (1, "What is 37 + 48 - 12 * 5?"), (2, "1914 1918 1939 1945 1789 1815 1848 1871 1066 1492"), (3, "List Anna Bert Carl Dora Emil Fritz Gustav Hanna Ida Jakob"),
+        (4, "Add 3 kg 5 kg 7 kg 9 kg then say what the whole of it is in grams when two kg are lost"), (5, "7 8 9"),
+    ]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"before it. {t} after it") for i, t in items] + [(10, "What is 38 + 48 - 12 * 5?"), (11, "1914 1918 1939 1946 1789 1815 1848 1871 1067 1492"), (12, items[2][1].upper()), (13, "List Otto Paul Carl Dora Emil Rosa Gustav Hanna Tom Jakob")]
+    got = decontamination.contaminated(make(rows), b).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4), (12, 3)]
+    assert all(r["n_windows"] == r["item_windows"] and r["n_changed"] == 0 for r in got)
+    assert sorted(r["doc_id"] for r in decontamination.clean(make(rows), b).collect()) == [5, 10, 11, 13]
+
+
 def test_benchmark_blocks(make, spark, monkeypatch):
     monkeypatch.setattr(decontamination.blocks, "__defaults__", (5,))
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
