@@ -1,8 +1,8 @@
 """License scans by a positional rare-token index, with DataFrame functions only.
 
 The templates are few and fixed.  Their vocabulary's document frequencies are
-counted over all documents; the rarest word of each template is its key.  A
-file's words that are keys (its highest-IDF licence words) are looked up, the
+counted over all documents; the rarest word of each template's mandatory
+phrase is its key, so that no other word has to stand for a match.  A file's words that are keys (its highest-IDF licence words) are looked up, the
 template's postings around each are intersected with the file's words by
 relative position, and a template counts only where its mandatory key phrase
 stands complete.  All of that happens within a file's own row: nothing is
@@ -46,6 +46,11 @@ def vocabulary() -> list[str]:
     return sorted({w for p in [*BASE, *(t for t, _ in TEMPLATES.values())] for w in p.split()})
 
 
+def mandatory_at(template: str, must: str) -> int:
+    ws, ms = template.split(), must.split()
+    return next(j for j in range(len(ws)) if ws[j : j + len(ms)] == ms)
+
+
 def frequencies(words: DataFrame) -> tuple[dict[str, int], int]:
     """Over all rows: in how many texts each vocabulary word stands (at most len(vocabulary()) numbers), and rows."""
     vocab = F.array(*[F.lit(w) for w in vocabulary()])
@@ -73,7 +78,9 @@ def scan(docs: DataFrame) -> DataFrame:
     words = docs.select(F.col("doc_id"), F.coalesce(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(LICENSE_WORD), F.lit(0)), F.array().cast("array<string>")).alias("__words"))
     freq, n = frequencies(words)
     idf = {w: math.log((n + 1) / (freq.get(w, 0) + 0.5)) for w in vocabulary()}
-    key = {p: max(range(len(ws)), key=lambda j: (idf[ws[j]], -j)) for p in [*BASE, *(t for t, _ in TEMPLATES.values())] for ws in [p.split()]}
+    # the place of a phrase whose every word must stand, and its rarest word
+    must = {**{p: (0, len(p.split())) for p in BASE}, **{t: (mandatory_at(t, m), len(m.split())) for t, m in TEMPLATES.values()}}
+    key = {p: max(range(a, a + size), key=lambda j: (idf[ws[j]], -j)) for p, (a, size) in must.items() for ws in [p.split()]}
     keys = sorted({p.split()[j] for p, j in key.items()})
     rare = F.array(*[F.lit(w) for w in keys])
     at = F.filter(F.transform("__words", lambda w, i: F.when(w.isin(keys), i)), lambda i: i.isNotNull())
@@ -91,7 +98,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def best(template: str, must: str) -> Column:
         """Over the key's hits with the mandatory phrase at its place: the largest share of weight."""
         ws, ms, k = template.split(), must.split(), key[template]
-        m0 = next(j for j in range(len(ws)) if ws[j : j + len(ms)] == ms)
+        m0 = mandatory_at(template, must)
         total = sum(idf[w] for w in ws) or 1.0
 
         def share(i):

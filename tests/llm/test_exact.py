@@ -342,6 +342,14 @@ def test_license_scan(make):
     assert all(0 <= r["score"] <= 1 for r in got.collect())
 
 
+def test_license_without_its_rarest_word(make):
+    texts = ["according to the terms of the Mozilla Public License, v. 2.0", "Permision is hereby granted, free of charge, to any person obtaining a copy of this software", "The usage and use in source and binary forms, with or without modification, are permitted"]
+    rows = list(enumerate(texts)) + [(100 + i, f"ordinary text {i}") for i in range(30)]
+    got = {r["doc_id"]: r for r in license_scan.scan(make(rows)).collect()}
+    assert [got[i]["labels"] for i in range(3)] == ["mpl-2.0", "mit-grant", "bsd"] and all(0.75 <= got[i]["score"] < 1 for i in range(3))
+    assert got[100]["labels"] == "" and got[100]["score"] == 0
+
+
 def test_sharding(docs):
     rows = corpus()
     got = sharding.shard(docs, rows_per_range=4).collect()
