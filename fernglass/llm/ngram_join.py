@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join with size-banded tiles and bitmap signatures.
 
 Every text's word shingles become a sorted array of distinct 64-bit hashes; a
-class is a distinct set (copies are one class and never meet each other).  A
-tile is a set of classes that share a key, in a band of sizes that can reach
+class is a distinct set (copies are one class and never meet each other), told
+apart by 128 bits and numbered thereafter.  A tile is a set of classes that share a key, in a band of sizes that can reach
 the threshold:
 
 * a set of at most ``SMALL * 4/3`` shingles has its shortest prefixes as keys
@@ -10,7 +10,8 @@ the threshold:
   least hashes), which finds every link between small sets;
 * a set of more than ``SMALL`` shingles has ``BANDS`` keys of ``ROWS`` minima
   under random multipliers; a link at exactly t = 0.75 lacks a common key with
-  probability (1 - 0.75**3)**40 < 4e-10.
+  probability (1 - 0.75**3)**40 < 4e-10.  With ``exact`` these sets have their
+  prefixes as keys too (a quarter of their shingles each), and no link is lost.
 
 Within a tile, bit counts of the hashed parity bitmaps bound the overlap from
 above; what passes is decided by the exact intersection of the sorted arrays,
@@ -53,13 +54,13 @@ def sets(column: pa.Array):
             yield row + i, np.unique(h[at[i] : at[i + 1]])
 
 
-def keys(s: np.ndarray) -> np.ndarray:
+def keys(s: np.ndarray, exact: bool = False) -> np.ndarray:
     n, out = len(s), []
     if not n:
         return s
-    if n <= SMALL * 100 // PERCENT + 1:
+    if exact or not is_banded(n):
         out.append(mix(s[: n + (-n * PERCENT // 100) + 1] ^ np.uint64(0x51)))
-    if n > SMALL:
+    if n > SMALL and not exact:
         least = np.full(len(MULTIPLIERS), ~np.uint64(0))
         for at in range(0, n, 2048):
             np.minimum(least, (s[at : at + 2048, None] * MULTIPLIERS).min(0), out=least)
@@ -71,6 +72,16 @@ def keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def is_banded(n):
+    """Whether a set of n shingles has nothing but bands as keys; one that isn't banded can't link with another below SMALL."""
+    return n > SMALL * 100 // PERCENT + 1
+
+
+def digest(s: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def bitmap(s: np.ndarray) -> bytes:
     """Parity of the hashes' last bits, in 64 to 65,536 bits, four for every hash if that is possible."""
     bits = 64
@@ -104,20 +115,21 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, n, cls, keys, sig) of every row; mark names the text, cls the set; 0-length sets have null."""
+def described(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """(doc_id, mark, n, hi, lo, keys, sig) of every row; mark names the text, (hi, lo) the set; 0-length sets have null."""
 
     def rows(batches):
         for b in batches:
-            n, cls, ks, sig = [], [], [], []
+            n, name, ks, sig = [], [], [], []
             for _, s in sets(b.column(1)):
                 n.append(len(s))
-                cls.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
-                ks.append(keys(s).tobytes() if len(s) else None)
+                name.append(digest(s) if len(s) else None)
+                ks.append(keys(s, exact).tobytes() if len(s) else None)
                 sig.append(bitmap(s) if len(s) else None)
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(ks, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "mark", "n", "cls", "keys", "sig"])
+            half = [pa.array([x and int.from_bytes(x[k : k + 8], "little", signed=True) for x in name], pa.int64()) for k in (0, 8)]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), *half, pa.array(ks, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "mark", "n", "hi", "lo", "keys", "sig"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text")).mapInArrow(rows, "doc_id long, mark long, n long, cls long, keys binary, sig binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text")).mapInArrow(rows, "doc_id long, mark long, n long, hi long, lo long, keys binary, sig binary")
 
 
 def tile_rows(classes: DataFrame) -> DataFrame:
@@ -139,18 +151,17 @@ def tile_rows(classes: DataFrame) -> DataFrame:
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that the bit counts leave, with the documents that stand for them."""
-    one = classes.select("cls", "rep", "n", "sig")
-    a = one.select(F.col("cls").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    b = one.select(F.col("cls").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    a = classes.select(F.col("cls").alias("a"), F.col("rep").alias("ra"), F.col("hi").alias("ha"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    b = classes.select(F.col("cls").alias("b"), F.col("rep").alias("rb"), F.col("hi").alias("hb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     sized = pairs.join(a, "a").join(b, "b").where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
 
     def rows(batches):
         for x in batches:
             na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
             keep = [bool(may_link(na[i], np.frombuffer(x.column("sa")[i].as_py(), np.uint8), nb[i], np.frombuffer(x.column("sb")[i].as_py(), np.uint8))) for i in range(x.num_rows)]
-            yield x.select(["a", "ra", "b", "rb"]).filter(pa.array(keep, pa.bool_()))
+            yield x.select(["a", "ra", "ha", "b", "rb", "hb"]).filter(pa.array(keep, pa.bool_()))
 
-    return sized.select("a", "ra", "na", "sa", "b", "rb", "nb", "sb").mapInArrow(rows, "a long, ra long, b long, rb long")
+    return sized.select("a", "ra", "ha", "na", "sa", "b", "rb", "hb", "nb", "sb").mapInArrow(rows, "a long, ra long, ha long, b long, rb long, hb long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -163,12 +174,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     full = half.join(texts.withColumnRenamed("__text", "tb"), F.col("rb").eqNullSafe(F.col("__id"))).drop("__id")
 
     def named(s: np.ndarray) -> int:
-        return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+        return int.from_bytes(digest(s)[:8], "little", signed=True)
 
     def rows(batches):
         seen: dict[int, np.ndarray] = {}
 
-        def fill(cls, text):  # a doc_id with several texts joins with each; only the class's own counts
+        def fill(cls, names, text):  # a doc_id with several texts joins with each; only the class's own counts
             out = []
             fresh = [i for i, c in enumerate(cls) if c not in seen]
             made = {fresh[r]: s for r, s in sets(text.take(pa.array(fresh, pa.int64())))} if fresh else {}
@@ -176,7 +187,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 s = made.get(i)
                 if s is None:
                     s = seen.get(c)
-                elif named(s) == c:
+                elif named(s) == names[i]:
                     seen[c] = s
                 else:
                     s = None
@@ -187,13 +198,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 x = b.slice(at, 256)
                 ca, cb = x.column("a").to_pylist(), x.column("b").to_pylist()
-                sa, sb = fill(ca, x.column("ta")), fill(cb, x.column("tb"))
+                sa, sb = fill(ca, x.column("ha").to_pylist(), x.column("ta")), fill(cb, x.column("hb").to_pylist(), x.column("tb"))
                 keep = [s is not None and t is not None and linked(s, t) for s, t in zip(sa, sb)]
                 yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
                 if sum(map(len, seen.values())) > 4_000_000:
                     seen.clear()
 
-    return full.select("a", "ta", "b", "tb").mapInArrow(rows, "a long, b long").distinct()
+    return full.select("a", "ha", "ta", "b", "hb", "tb").mapInArrow(rows, "a long, b long").distinct()
 
 
 def cross_pairs(tiles: DataFrame, classes: DataFrame, roots: DataFrame, nearest: bool = False) -> DataFrame:
@@ -219,7 +230,7 @@ def cross_pairs(tiles: DataFrame, classes: DataFrame, roots: DataFrame, nearest:
         p, q, key = (t.column(c)[0].as_py() for c in ("p", "q", "key"))
         known = [np.frombuffer(x, np.int64) for x in t.column("keys").to_pylist()]
         known = [known[i] for i in order]
-        banded = np.array([len(k) == BANDS for k in known])
+        banded = np.array([len(k) == BANDS for k in known]) & is_banded(n)
         bands = np.stack([k if b else np.full(BANDS, -1) for k, b in zip(known, banded)])
         lengths = np.array([len(x) for x in sig])
         stacks = [(at, np.stack([sig[j] for j in at])) for size in np.unique(lengths) for at in [np.flatnonzero(lengths == size)]]
@@ -260,24 +271,34 @@ def cross_pairs(tiles: DataFrame, classes: DataFrame, roots: DataFrame, nearest:
     return rows.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, exact: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, class_id.
 
+    ``exact`` finds candidates by prefixes for sets of all sizes; else large sets have bands (see above).
+
     * a text without words (or null) has an empty set: n_shingles 0, linked
       with nothing, component_id its own doc_id, class_id null.
     * copies have one class_id; repeated rows give repeated rows.
     * null doc_id: kept; it is the component_id only if no other id is there.
-    * no rows give no rows.
+    * doc_id is cast to long; one that isn't a number fails there in ANSI mode.
+    * a very long text is one set like others; its bitmap has at most 65,536 bits.
+    * no rows give no rows; other columns of ``docs`` are not looked at.
     """
-    rows = cut(described(docs))
-    return _joined(rows, class_components(rows, docs))
+    rows = cut(described(docs, exact))
+    found = class_components(rows, docs)
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "hi", "lo").join(found.select("cls", "component_id", F.col("hi").alias("h"), F.col("lo").alias("l")), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("lo").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("cls").alias("class_id"))
 
 
 def class_components(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cls, component_id, root) of every class; root names the component, as several may have no id or the same."""
-    named = rows.where("cls is not null").groupBy("cls")
-    tiles = cut(tile_rows(named.agg(F.first("keys").alias("keys"))))
-    classes = cut(named.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
+    """(hi, lo, cls, component_id, root) of every class; root names the component, as several may have no id or the same.
+
+    ``cls`` is the class's number, unique whatever its 128 bits; the checkpoint fixes it.
+    """
+    named = rows.where("lo is not null").groupBy("hi", "lo")
+    classes = named.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+    tiles = cut(tile_rows(classes))
     stars = tiles.where("cls <> leader").groupBy("cls").agg(F.min("leader").alias("b")).select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"))
     tested = links = roots = None
     for step in range(NEAREST_ROUNDS + 2):
@@ -295,29 +316,24 @@ def class_components(rows: DataFrame, docs: DataFrame) -> DataFrame:
         links = more if links is None else links.unionByName(more)
         if step == 0 or not more.isEmpty():
             roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
+    named = classes.select("hi", "lo", "cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("hi", "lo", "cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return named.join(least, "root").select("cls", "component_id", "root")
-
-
-def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(found.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("cls").alias("class_id"))
+    return named.join(least, "root").select("hi", "lo", "cls", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``docs`` with one row of each component: the one with the least (doc_id, class, text hash), ids before null.
 
     Of rows that are equal in doc_id and text one stays.  Texts without words
     are linked with nothing and all stay.
     """
-    rows = cut(described(docs))
-    found = class_components(rows, docs).select(F.col("cls").alias("__c"), "root")
-    each = rows.where("cls is not null").groupBy("doc_id", "cls", "mark").agg(F.count(F.lit(1)).alias("n"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "mark", "n")
-    first = each.join(found, F.col("cls") == F.col("__c")).groupBy("root").agg(F.min(place).alias("f"))
+    rows = cut(described(docs, exact))
+    found = class_components(rows, docs).select(F.col("hi").alias("__h"), F.col("lo").alias("__l"), "root")
+    each = rows.where("lo is not null").groupBy("doc_id", "hi", "lo", "mark").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hi", "lo", "mark", "n")
+    first = each.join(found, (F.col("hi") == F.col("__h")) & (F.col("lo") == F.col("__l"))).groupBy("root").agg(F.min(place).alias("f"))
     keep = first.select(F.col("f.doc_id").alias("__id"), F.col("f.mark").alias("__mark"), F.col("f.n").alias("__rows"))
-    wordless = rows.where("cls is null").select("doc_id", "mark").distinct()
+    wordless = rows.where("lo is null").select("doc_id", "mark").distinct()
     keep = cut(keep.unionByName(wordless.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.lit(1).cast("long").alias("__rows"))))
     out = docs.withColumn("__own", F.xxhash64("text"))
     out = out.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")))

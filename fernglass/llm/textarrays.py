@@ -16,9 +16,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 _seeded = np.random.Generator(np.random.PCG64(20240229))
-BYTE_CODE = _seeded.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-STEP = U(0x9E3779B97F4A7C15)
-STEP_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Polynomial hashes at two random points modulo the prime 2**31 - 1: two ranges of n bytes that differ meet with probability below (n / 2**31)**2.
+PRIME = U((1 << 31) - 1)
+POINTS = _seeded.integers(1 << 20, (1 << 31) - 2, 2)
+BYTE_CODE = _seeded.integers(1, (1 << 31) - 2, (2, 256), dtype=np.uint64)
 MIX1, MIX2 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
 
 
@@ -28,38 +29,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME, for x below 2**62."""
+    x = (x & PRIME) + (x >> U(31))
+    x = (x & PRIME) + (x >> U(31))
+    return np.where(x >= PRIME, x - PRIME, x)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """STEP**i and STEP**-i modulo 2**64, for i in 0..n-1."""
+_powers: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _series(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    have = 1
+    while have < size:  # the second half is the first times a power
+        out[have : 2 * have] = reduced(out[:have] * U(pow(base, have, int(PRIME))))
+        have *= 2
+    return out
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of both points the powers 0..n-1 and the inverses of them."""
     size = 1 << max(16, int(n - 1).bit_length())
     if size not in _powers:
         _powers.clear()
-        a, b = np.full(size, STEP), np.full(size, STEP_INVERSE)
-        a[0] = b[0] = 1
-        _powers[size] = np.multiply.accumulate(a), np.multiply.accumulate(b)
-    a, b = _powers[size]
-    return a[:n], b[:n]
+        _powers[size] = [(_series(int(p), size), _series(pow(int(p), -1, int(PRIME)), size)) for p in POINTS]
+    return [(a[:n], b[:n]) for a, b in _powers[size]]
 
 
 class Prefix:
     """Hashes of any byte ranges of ``data``: equal ranges have equal hashes wherever they stand."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODE[data] * up[:-1], out=self.sums[1:])
+        self.n, self.sums, self.down = len(data), [], []
+        for code, (up, down) in zip(BYTE_CODE, powers(len(data) + 1)):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(reduced(code[data] * up[:-1]), out=sums[1:])  # below 2**31 each
+            self.sums.append(sums)
+            self.down.append(down)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        one, two = (reduced(reduced(s[end] - s[start]) * d[start]) for s, d in zip(self.sums, self.down))
+        return mix(one << U(31) | two)
 
     def grams(self, k: int) -> np.ndarray:
         """Of the k bytes from every position that has as many."""
-        n = len(self.sums) - 1
+        n = self.n
         if n < k:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[: n - k + 1]) * self.down[: n - k + 1])
+        one, two = (reduced(reduced(s[k:] - s[: n - k + 1]) * d[: n - k + 1]) for s, d in zip(self.sums, self.down))
+        return mix(one << U(31) | two)
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, most: int = 1 << 19):

@@ -417,3 +417,36 @@ def test_all_null_texts(make):
     rows = [(1, None), (2, None), (None, None)]
     for f in (mixing.mix, ngram_join.jaccard_components, line_dedup.dedup_lines, media.media_columns, suffix_dedup.remove_repeats, license_scan.scan, sharding.shard):
         assert f(make(rows)).count() == 3
+
+
+def thue_morse(n, flip=False):
+    x = [0]
+    while len(x) < n:
+        x += [1 - b for b in x]
+    return "".join("ab"[b ^ flip] for b in x[:n])
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_hashes_tell_thue_morse_words_apart(make, n):
+    """Words, lines and passages that defeat polynomial hashes modulo powers of two."""
+    a, b = thue_morse(n), thue_morse(n, True)
+    tail = " one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, a), (2, b), (3, a + tail), (4, b + tail), (5, f"{a}\nx1 y\nx2 z"), (6, f"{b}\nx1 y\nx2 z"), (7, a)]
+    assert collect(ngram_join.jaccard_components(make(rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert collect(line_dedup.dedup_lines(make(rows)), "doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256") == brute_lines(rows)
+    assert collect(suffix_dedup.remove_repeats(make(rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
+
+
+def test_exact_candidates_find_no_other_links(make):
+    """Large sets near the threshold: bands lose nothing that prefixes for all sizes find."""
+    rng, rows = random.Random(5), []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(rng.choice([130, 161, 200, 320]))]
+        for i in range(4):
+            w = list(base)
+            for _ in range(rng.randint(0, 9)):
+                w[rng.randrange(len(w))] = f"n{rng.random()}"
+            rows.append((100 * g + i, " ".join(w)))
+    want = brute_components(rows)
+    for exact in (False, True):
+        assert collect(ngram_join.jaccard_components(make(rows), exact), "doc_id", "n_shingles", "component_id") == want
