@@ -1,13 +1,16 @@
 """Line deduplication by winnowing over line hashes.
 
-A document is its sequence of non-blank lines, one hash each.  Of every
-``RUN`` consecutive line hashes the least is selected (the leftmost of equal
-ones); selected positions are the fingerprints, and any run of RUN lines that
-two places share holds a common one.  Fingerprints are joined by hash; only
-those met at two places or more go on.  Around each of them the match is
-extended both ways, a window of RUN lines at a time: a window that also stands
-at an earlier place is repeated, and adjoining repeated windows are one run.
-The lines of repeated windows are deleted; the first place keeps them.
+A document is its sequence of non-blank lines, one hash each.  From every line
+starts a window: the fewest lines that have ``LONG`` words, but at most ``RUN``
+lines; so any run of RUN lines, or of LONG words in fewer, that two places
+share begins with the same window at both.  The least hash of a window is
+selected (the leftmost of equal ones); selected positions are the fingerprints,
+and equal windows have equal ones.  Fingerprints are joined by hash; only those
+met at two places or more go on.  Around each of them the match is extended
+both ways, window by window: one that also stands at an earlier place is
+repeated, and adjoining repeated windows are one run.  The lines of repeated
+windows are deleted; the first place keeps them.  A text of fewer than RUN
+lines and LONG words is one window, which meets only other whole texts.
 
 The order of places is (doc_id, text hash, line).  Everything is an aggregation
 per fingerprint or window and a join back, so a line or passage that stands
@@ -22,16 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
-from .textarrays import SHINGLE, SPACE, Prefix, chunks, mix, words
+from .textarrays import SHINGLE, SPACE, Prefix, U, chunks, mix, words
 
-RUN = 3
+RUN, LONG = 3, 50
 LOWEST = -(1 << 63)
 
 
 class Lines:
-    """Non-blank lines of a chunk of texts: start, end, first (by text), hash, and each text's hash."""
+    """Non-blank lines of a chunk of texts: start, end, first (by text), hash, number of words, and each text's hash."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, count: bool = False):
         starts, ends, first = words(data, off, data != 10)
         solid = np.r_[0, np.cumsum(~SPACE[data])]
         some = solid[ends] > solid[starts]
@@ -40,35 +43,54 @@ class Lines:
         self.first = np.r_[0, np.cumsum(some)][first]
         self.hash = prefix.of(self.starts, self.ends)
         self.mark = prefix.of(off[:-1], off[1:]).view(np.int64)
-
-
-def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """A row per selected position: fp, doc, mark, and the starts and hashes of the windows that it stands for."""
-    schema = "fp long, doc long, mark long, starts array<int>, wins array<long>"
+        if count:
+            at = words(data, off)[0]
+            self.words = np.searchsorted(at, self.ends) - np.searchsorted(at, self.starts)
+
+    def windows(self, run: int, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first line, number of lines, hash, fingerprint's line) of every window."""
+        n = len(self.hash)
+        text = np.searchsorted(self.first, np.arange(n), "right") - 1
+        begin, left = self.first[text], self.first[text + 1] - np.arange(n)
+        padded, seen = np.concatenate([self.hash, np.zeros(run, np.uint64)]), np.r_[0, np.cumsum(self.words)]
+        size = np.full(n, run)
+        for k in range(run - 1, 0, -1):
+            size[seen[np.minimum(np.arange(n) + k, n)] - seen[:-1] >= long] = k
+        short = (size > left) & (np.arange(n) == begin)  # a text with fewer lines and words is one window
+        size = np.where(short, left, size)
+        ok = size <= left
+        h, best, at = size.astype(np.uint64) + U(1 << 32) * short.astype(np.uint64), padded[:n].copy(), np.arange(n)
+        for j in range(run):
+            inside = j < size
+            h[inside] += padded[j : j + n][inside] * SHINGLE[j]
+            less = inside & (padded[j : j + n] < best)
+            best[less], at[less] = padded[j : j + n][less], np.arange(n)[less] + j
+        p = np.flatnonzero(ok)
+        return p, size[p], mix(h)[p], at[p]
+
+
+def fingerprints(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
+    """A row per selected position: fp, doc, mark, and the starts, sizes and hashes of the windows that it stands for."""
+    schema = "fp long, doc long, mark long, starts array<int>, sizes array<int>, wins array<long>"
 
     def rows(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for row, data, off in chunks(b.column(1)):
-                x = Lines(data, off)
-                n = len(x.hash) - run + 1
-                if n <= 0:
+                x = Lines(data, off, count=True)
+                if not len(x.hash):
                     continue
-                text = np.searchsorted(x.first, np.arange(n), "right") - 1
-                ok = np.arange(n) + run <= x.first[text + 1]
-                wins = mix(sum((x.hash[j : j + n] * SHINGLE[j] for j in range(run)), np.zeros(n, np.uint64)))
-                at = np.arange(n) + np.argmin(np.stack([x.hash[j : j + n] for j in range(run)]), axis=0)
-                p = np.flatnonzero(ok)
+                p, size, wins, at = x.windows(run, long)
+                text = np.searchsorted(x.first, p, "right") - 1
                 if not len(p):
                     continue
-                head = np.r_[True, (at[p][1:] != at[p][:-1]) | (text[p][1:] != text[p][:-1])]
-                cuts = np.r_[np.flatnonzero(head), len(p)].astype(np.int32)
-                h = p[head]
+                head = np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])]
+                cuts = pa.array(np.r_[np.flatnonzero(head), len(p)].astype(np.int32))
+                listed = lambda v: pa.ListArray.from_arrays(cuts, pa.array(v))
                 yield pa.record_batch([
-                    pa.array(x.hash[at[h]].view(np.int64)), pa.array(ids[row + text[h]]), pa.array(x.mark[text[h]]),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array((p - x.first[text[p]]).astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(wins[p].view(np.int64))),
-                ], names=["fp", "doc", "mark", "starts", "wins"])
+                    pa.array(x.hash[at[head]].view(np.int64)), pa.array(ids[row + text[head]]), pa.array(x.mark[text[head]]),
+                    listed((p - x.first[text]).astype(np.int32)), listed(size.astype(np.int32)), listed(wins.view(np.int64)),
+                ], names=["fp", "doc", "mark", "starts", "sizes", "wins"])
 
     return _ids(docs).mapInArrow(rows, schema)
 
@@ -77,36 +99,39 @@ def _ids(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.col("text").cast("binary").alias("text"))
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc, mark, starts): the windows of each document that also stand at an earlier place."""
-    found = fingerprints(docs, run)
+def repeated_windows(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
+    """(doc, mark, windows): (start, size) of the windows of each document that also stand at an earlier place."""
+    found = fingerprints(docs, run, long)
     shared = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("fp").alias("f"))
     around = found.join(shared, F.col("fp") == F.col("f"), "left_semi")
-    around = cut(around.select("doc", "mark", F.explode(F.arrays_zip("starts", "wins")).alias("w")).select("doc", "mark", F.col("w.starts").alias("start"), F.col("w.wins").alias("win")))
+    around = around.select("doc", "mark", F.explode(F.arrays_zip("starts", "sizes", "wins")).alias("w"))
+    around = cut(around.select("doc", "mark", F.col("w.starts").alias("start"), F.col("w.sizes").alias("size"), F.col("w.wins").alias("win")))
     place = F.struct("doc", "mark", "start")
     first = around.groupBy("win").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("win").alias("w"), "first")
     later = around.join(first, F.col("win") == F.col("w")).where(place > F.col("first"))
-    return later.groupBy("doc", "mark").agg(F.collect_set("start").alias("starts"))  # no more than the document's lines
+    return later.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "size")).alias("windows"))  # no more than the document's lines
 
 
 RESULT = "doc_id long, n_lines long, n_removed long, n_runs long, kept_bytes long, kept_sha256 string"
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, keep: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, keep: bool = False, long: int = LONG) -> DataFrame:
     """One row per input row: RESULT, with ``keep`` also the remaining text (column kept).
 
     ``n_lines`` are the non-blank lines, ``n_removed`` those deleted, in
     ``n_runs`` runs.  Blank lines stay where they are and don't interrupt runs.
 
-    * null and empty texts have no lines; texts of fewer than RUN lines lose nothing.
+    * null and empty texts have no lines.
+    * a text of fewer than RUN lines and LONG words loses all or nothing: all where an earlier document has the same lines and no others.
     * null doc_id: before all other ids, and null in the result.
     * rows with equal doc_id and text are one document: they keep or lose the same lines.
-    * an empty table gives no rows.
+    * a very long text is hashed at once, an array of a few words per byte; a line of any length is one line.
+    * an empty table gives no rows; columns of ``docs`` other than doc_id and text are not looked at.
     """
-    gone = repeated_windows(docs, run)
+    gone = repeated_windows(docs, run, long)
     marked = _ids(docs).mapInArrow(_with_mark, "doc long, text binary, mark long")
-    g = gone.select(F.col("doc").alias("__d"), F.col("mark").alias("__m"), "starts")
-    both = marked.join(g, (F.col("doc") == F.col("__d")) & (F.col("mark") == F.col("__m")), "left").select("doc", "text", "starts")
+    g = gone.select(F.col("doc").alias("__d"), F.col("mark").alias("__m"), "windows")
+    both = marked.join(g, (F.col("doc") == F.col("__d")) & (F.col("mark") == F.col("__m")), "left").select("doc", "text", "windows")
     schema = RESULT + ", kept string" * keep
 
     def rows(batches):
@@ -119,8 +144,8 @@ def dedup_lines(docs: DataFrame, run: int = RUN, keep: bool = False) -> DataFram
                 for i in range(len(off) - 1):
                     n = int(x.first[i + 1] - x.first[i])
                     drop = np.zeros(n, bool)
-                    for s in marks[row + i].as_py() or ():
-                        drop[s : s + run] = True
+                    for w in marks[row + i].as_py() or ():
+                        drop[w["start"] : w["start"] + w["size"]] = True
                     text = data[off[i] : off[i + 1]].tobytes()
                     if drop.any():
                         dead = set((x.starts[x.first[i] : x.first[i + 1]][drop] - off[i]).tolist())
@@ -157,10 +182,15 @@ SQL = r"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM split),
 solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-wins AS (SELECT *, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3 FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-firsts AS (SELECT *, doc_id > min(doc_id) OVER g OR k > min(k) OVER h AS later FROM wins WHERE l3 IS NOT NULL
-  WINDOW g AS (PARTITION BY line, l2, l3), h AS (PARTITION BY doc_id, line, l2, l3)),
-dead AS (SELECT DISTINCT doc_id, k + j AS k FROM firsts, range(0, 3) AS r(j) WHERE later),
+counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM solid),
+ahead AS (SELECT *, lead(line, 1) OVER o AS l2, lead(line, 2) OVER o AS l3, lead(w, 1) OVER o AS w2, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM counted WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sized AS (SELECT *, CASE WHEN w >= 50 THEN 1 WHEN w + w2 >= 50 THEN 2 WHEN l3 IS NOT NULL THEN 3 WHEN k = 1 THEN n END AS size,
+  w < 50 AND coalesce(w + w2 < 50, true) AND l3 IS NULL AS whole FROM ahead),
+wins AS (SELECT doc_id, k, size, whole, [line, l2, l3][1:size] AS win FROM sized WHERE size IS NOT NULL),
+firsts AS (SELECT *, doc_id > min(doc_id) OVER g OR k > min(k) OVER h AS later FROM wins
+  WINDOW g AS (PARTITION BY whole, size, win), h AS (PARTITION BY doc_id, whole, size, win)),
+dead AS (SELECT DISTINCT doc_id, k + j AS k FROM firsts, range(0, 3) AS r(j) WHERE later AND j < size),
 marked AS (SELECT l.doc_id, l.line, l.i, s.k, d.k IS NOT NULL AS gone FROM lines l
   LEFT JOIN solid s ON l.doc_id = s.doc_id AND l.i = s.i LEFT JOIN dead d ON s.doc_id = d.doc_id AND s.k = d.k),
 runs AS (SELECT *, k IS NOT NULL AND gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id, k IS NULL ORDER BY i), false) AS opens FROM marked),

@@ -222,27 +222,45 @@ def test_components(spark):
     assert {n for n, r in got.items() if r == 0} == set(range(31)) and {n for n, r in got.items() if r == 100} == {100, 101, 105}
 
 
-def brute_lines(rows, run=3):
+def brute_lines(rows, run=3, long=50):
     places, seqs = {}, {}
     for d, t in sorted({(key(d), t) for d, t in rows if t is not None}):
         lines = t.split("\n")
         at = [i for i, x in enumerate(lines) if WORD.search(x)]
-        seqs[(d, t)] = (lines, at)
-        for k in range(len(at) - run + 1):
-            places.setdefault(tuple(lines[i] for i in at[k : k + run]), []).append((d, k, t))
+        wins = []
+        for k in range(len(at)):
+            words, n = 0, 0
+            while n < run and words < long and k + n < len(at):
+                words += len(WORD.findall(lines[at[k + n]]))
+                n += 1
+            enough = n == run or words >= long
+            if enough or k == 0:
+                wins.append((k, (not enough, *(lines[i] for i in at[k : k + n]))))
+        seqs[(d, t)] = (lines, at, wins)
+        for k, w in wins:
+            places.setdefault(w, []).append((d, k, t))
     out = []
     for d, t in rows:
-        lines, at = seqs.get((key(d), t), ([""], []))
+        lines, at, wins = seqs.get((key(d), t), ([""], [], []))
         drop = set()
-        for k in range(len(at) - run + 1):
-            first = min(places[tuple(lines[i] for i in at[k : k + run])], key=lambda p: (p[0], p[1]))
+        for k, w in wins:
+            first = min(places[w], key=lambda p: (p[0], p[1]))
             if (first[0], first[1]) < (key(d), k):
-                drop |= set(range(k, k + run))
+                drop |= set(range(k, k + len(w) - 1))
         kept = "\n".join(x for i, x in enumerate(lines) if i not in {at[k] for k in drop})
         out.append((d, len(at), len(drop), sum(k - 1 not in drop for k in drop), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=lambda t: tuple((x is not None, x) for x in t))
 
 
+def test_line_dedup_of_short_and_long_lines(make):
+    long, half = " ".join(f"w{k}" for k in range(60)), " ".join(f"h{k}" for k in range(27))
+    rows = [(1, f"a b\n{long}\nc"), (2, f"x\n{long}\ny z\nq"), (3, long), (4, long), (5, f"{half}\n{half}2"), (6, f"k\n{half}\n{half}2\nm"), (7, half), (8, f"m\n{half}"), (9, half), (10, "two\nlines"), (11, "two\nlines"), (12, "two"), (13, "two\nlines\n \n"), (14, "\n\n"), (15, "u\nu\nu\nu")]
+    got = line_dedup.dedup_lines(make(rows))
+    assert collect(got, "doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256") == brute_lines(rows)
+    gone = {r["doc_id"]: r["n_removed"] for r in got.collect()}
+    assert gone == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 2, 7: 0, 8: 0, 9: 1, 10: 0, 11: 2, 12: 0, 13: 2, 14: 0, 15: 3}
+
+
 def test_line_dedup(docs):
     got = line_dedup.dedup_lines(docs)
     assert collect(got, "doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256") == brute_lines(corpus())
