@@ -5,7 +5,9 @@ texts are neighbours and no two records share a key.  Size-weighted samples of
 that key give quantile splitters for many fine ranges; a range that turns out
 overfull is subdivided at further samples of its own until none is.  Exact sizes of the ranges and a running sum within each range give
 every record its exact place in the global order of bytes, which fixes its
-shard (``n`` equal parts of all bytes) and its slot.  The splitters, the ranges'
+shard (``n`` equal parts of all bytes) and its slot.  A shard's end that falls
+into a group of equal texts is moved to the group's nearer end, if the group
+is at most ``group_share`` of a shard; only a larger group is divided.  The splitters, the ranges'
 sums and the shards' first ranks are the only things the driver sees, and
 their number is of the order of ``max_ranges``: only a range above twice the
 even share gains splitters, and there are fewer than half as many of those.
@@ -28,6 +30,13 @@ def key_of(keyed: DataFrame) -> list[str]:
     return [c for c in KEY if c in keyed.columns]
 
 
+def _any(conditions: list):
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
 def place(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
     """For each key (its parts, the first decides first) the number of splitters that are not above it."""
     lo, hi = np.searchsorted(splitters[0], keys[0], "left"), np.searchsorted(splitters[0], keys[0], "right")
@@ -90,16 +99,18 @@ def split_ranges(keyed: DataFrame, rows_per_range: int, max_ranges: int, samples
     return splitters, sorted((r["__range"], r["b"], r["n"]) for r in found)
 
 
-def shard(docs: DataFrame, shards: int = 16, rows_per_range: int = 4096, max_ranges: int = 4096) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, rows_per_range: int = 4096, max_ranges: int = 4096, group_share: float = 0.05) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Size is the text's UTF-8 bytes plus 1.  Law ``bytes``: shards hold equal
-    bytes up to one record.  Equal texts are neighbours in the order and so in
-    one shard, unless a shard's end falls among them.
+    bytes up to one record, or to ``group_share`` where a group of equal texts
+    stays whole; such a group is in one shard.
 
     * null text: size 1, crc 0, and first in the order; null doc_id: before other ids.
+    * doc_id is cast to long; one that isn't a number fails there in ANSI mode.
+    * a very long text is one record, and the shard that has it may be as much larger.
     * repeated rows are separate records; which of two equal rows is first doesn't show.
-    * an empty table gives no rows.
+    * an empty table gives no rows; columns of ``docs`` other than doc_id and text are not looked at.
     """
     keyed = docs.select(
         F.col("doc_id"),
@@ -122,10 +133,22 @@ def shard(docs: DataFrame, shards: int = 16, rows_per_range: int = 4096, max_ran
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("__in", F.sum("size").over(run) - F.col("size")).withColumn("__rank", F.row_number().over(w) - 1)
     placed = placed.join(F.broadcast(before), placed["__range"] == before["__r"])  # max_ranges bounds it
-    start = F.col("__b0") + F.col("__in")
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor((start + F.col("size") / 2) * F.lit(float(shards)) / F.lit(float(max(b0, 1))))).cast("int"))
-    placed = placed.withColumn("__rank", F.col("__n0") + F.col("__rank"))
-    placed = cut(placed.select("doc_id", "size", "text_crc32", "shard", "__rank"))
+    placed = placed.withColumn("__start", F.col("__b0") + F.col("__in")).withColumn("__rank", F.col("__n0") + F.col("__rank"))
+    placed = cut(placed.select("doc_id", "size", "text_crc32", "__k1", "__start", "__rank"))
+
+    def part(middle):
+        return F.least(F.lit(shards - 1), F.floor(middle * F.lit(float(shards)) / F.lit(float(max(b0, 1)))).cast("int"))
+
+    # at most one group lies across each of the shards' ends
+    ends = [b0 * k // shards for k in range(1, shards)]
+    across = _any([(F.col("__start") <= e) & (F.col("__start") + F.col("size") > e) for e in ends])
+    split = [r["__k1"] for r in placed.where(across).select("__k1").distinct().collect()]
+    groups = placed.where(F.col("__k1").isin(split)).groupBy("__k1").agg(F.sum("size").alias("b"), F.min("__start").alias("s"))
+    whole = groups.where(F.col("b") <= group_share * b0 / shards).select("__k1", part(F.col("s") + F.col("b") / 2).alias("p")).collect()
+    own = part(F.col("__start") + F.col("size") / 2)
+    for r in whole:
+        own = F.when(F.col("__k1") == r["__k1"], F.lit(r["p"])).otherwise(own)
+    placed = placed.withColumn("shard", own.cast("int"))
     first = placed.groupBy(F.col("shard").alias("__s")).agg(F.min("__rank").alias("__first")).collect()
     firsts = spark.createDataFrame([tuple(r) for r in first], "__s int, __first long")
     out = placed.join(F.broadcast(firsts), placed["shard"] == firsts["__s"])  # a row per shard

@@ -393,6 +393,20 @@ def test_hot_text_is_spread(make):
     assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 2 * 19
 
 
+def test_groups_of_equal_texts_stay_whole(make):
+    rng = random.Random(4)
+    texts = [f"{k} " + "word " * rng.randint(1, 60) for k in range(2500)]
+    rows = [(i, texts[i % 2500]) for i in range(7500)]
+    got = sharding.shard(make(rows).repartition(3), rows_per_range=64).collect()
+    shards, sizes, slots = {}, [0] * 16, {}
+    for r in got:
+        shards.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(len(x) == 1 for x in shards.values()) and max(sizes) - min(sizes) < 0.06 * sum(sizes) / 16
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and len(got) == len(rows)
+
+
 def test_overfull_ranges_are_subdivided(make):
     from pyspark.sql import functions as F
 
