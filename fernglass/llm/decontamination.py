@@ -3,18 +3,20 @@
 Texts become sequences of template tokens: numbers, names (capitalised words
 within a sentence) and units (after a number) are typed placeholders, other
 words stand lower-cased for themselves.  Windows of ``K`` template tokens of
-all documents are looked up in a hash table of the benchmark items' windows.
-The matches of a document with an item are collected by their offset, and the
-slots under a matched stretch must be filled consistently: one value of the
-item always meets the same value of the document.  So a re-parameterised
-question is found like a literal one, and a chance meeting of placeholders is
-not.  Windows are also looked up word for word without regard to case, as a
-text in capitals doesn't show its names and an item may have few words besides
-numbers, names and units.  Template windows need LITERALS literal words; equal
-words are evidence whatever their kind.
-
-The benchmark is taken in blocks of at most ``BLOCK`` windows, which bounds
-what is sent to the executors however many items there are.
+the documents are hash-joined with the benchmark items' windows, and the
+matches of a document with an item are gathered by their offset.  The slots
+under a matched stretch must be filled consistently: one value of the item
+always meets the same value of the document.  So a re-parameterised question is
+found like a literal one, and a chance meeting of placeholders is not.  Windows
+are also joined word for word without regard to case, as a text in capitals
+doesn't show its names and an item may have few words besides numbers, names
+and units.  Template windows need LITERALS literal words; equal words are
+evidence whatever their kind.
+
+Before the join a document's windows meet a bit filter of the benchmark's, of
+at most ``FILTER_BITS``, so few go further.  The filter is all that the driver
+and the tasks hold of the benchmark: its windows stay a distributed table,
+which the engine broadcasts only where its own measure of it is small.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 from .textarrays import LOWERED, SHINGLE, Prefix, U, chunks, mix, words
 
-K, LITERALS, NEEDED, BLOCK = 8, 4, 4, 500_000
+K, LITERALS, NEEDED = 8, 4, 4
+#: Bits of the filter for every window, and its largest size (32 MB).
+BITS_PER_WINDOW, FILTER_BITS, PROBES = 64, 1 << 28, (0, 18, 36)
 NUMBER, NAME, UNIT, LITERAL = 1, 2, 3, 0
 #: Words taken for units where a number stands before them.
 UNITS = (
@@ -116,33 +120,75 @@ UNIT_CODES = np.zeros(0, np.uint64)
 UNIT_CODES = np.sort(np.concatenate([_tokens(u).plain for u in UNITS]))
 
 
-class Index:
-    """The windows of a block of items."""
+ITEMS = (
+    "h long, k int, number long, item_id long, q int, total int, n_usable int, usable boolean, same boolean, "
+    "slots array<struct<j:int,kind:int,value:binary>>"
+)
 
-    def __init__(self):
-        self.items, self.at, self.size = [], defaultdict(list), 0
 
-    def add(self, item_id, text: str | None) -> None:
-        """Items with fewer than LITERALS tokens can't be told from ordinary text and are left out."""
-        t = _tokens(text or "")
-        n = len(t.code)
-        if n < LITERALS:
-            return
-        literal = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
-        k = min(K, n)
-        h, plain = t.windows(k), t.windows(k, plain=True)
-        usable = set(np.flatnonzero(literal[k:] - literal[: n - k + 1] >= LITERALS).tolist())
-        number = len(self.items)
-        slots = {int(i): (int(t.kind[i]), t.value(i)) for i in np.flatnonzero(t.kind != LITERAL)}
-        self.items.append((item_id, n - k + 1, usable, k, slots))
-        for q in range(n - k + 1):
-            self.at[(k, int(plain[q]))].append((number, q, True))
-            if q in usable and h[q] != plain[q]:
-                self.at[(k, int(h[q]))].append((number, q, False))
-        self.size += n - k + 1
-
-    def lengths(self) -> dict[int, np.ndarray]:
-        return {k: np.sort(np.array([h for kk, h in self.at if kk == k], np.uint64)) for k in {k for k, _ in self.at}}
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """ITEMS: a row for every window of every item, word for word (same) and as a template where it is usable.
+
+    Items of fewer than LITERALS tokens can't be told from ordinary text and have none.
+    """
+    kind = pa.list_(pa.struct([("j", pa.int32()), ("kind", pa.int32()), ("value", pa.binary())]))
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), kind]
+    names = [c.strip().split(" ")[0] for c in ITEMS.split(", ")]
+
+    def rows(batches):
+        for b in batches:
+            out = []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                t = _tokens(text or "")
+                n = len(t.code)
+                if n < LITERALS:
+                    continue
+                k = min(K, n)
+                literal = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
+                usable = literal[k:] - literal[: n - k + 1] >= LITERALS
+                template, plain = t.windows(k).view(np.int64).tolist(), t.windows(k, plain=True).view(np.int64).tolist()
+                slots = {int(j): {"kind": int(t.kind[j]), "value": t.value(j)} for j in np.flatnonzero(t.kind != LITERAL)}
+                for q in range(n - k + 1):
+                    own = [{"j": j - q, **slots[j]} for j in range(q, q + k) if j in slots]
+                    rest = (k, b.column(0)[i].as_py(), b.column(1)[i].as_py(), q, n - k + 1, int(usable.sum()), bool(usable[q]))
+                    out.append((plain[q], *rest, True, own))
+                    if usable[q] and template[q] != plain[q]:
+                        out.append((template[q], *rest, False, own))
+            yield pa.record_batch([pa.array([r[j] for r in out], x) for j, x in enumerate(kinds)], names=names)
+
+    numbered = benchmark.select(F.monotonically_increasing_id().alias("number"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string"))
+    return cut(small_batches(numbered).mapInArrow(rows, ITEMS))  # which fixes the numbers
+
+
+class Filter:
+    """Bits of a set of hashes: may say yes to others, never no to its own."""
+
+    def __init__(self, bits: int):
+        self.mask, self.bits = U(bits - 1), np.zeros(bits // 8, np.uint8)
+
+    def places(self, h: np.ndarray, probe: int) -> np.ndarray:
+        return (h >> U(probe)) & self.mask
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = np.arange(len(h))
+        for probe in PROBES:  # most fall out at the first
+            where = self.places(h[at], probe)
+            at = at[(self.bits[(where >> U(3)).astype(np.int64)] >> (where & U(7)).astype(np.uint8)) & 1 > 0]
+        return at
+
+
+def window_filter(windows: DataFrame) -> tuple[Filter, list[int]]:
+    """The filter of all windows' hashes, and the lengths that they have (K and less)."""
+    count, ks = windows.agg(F.count(F.lit(1)), F.collect_set("k")).first()
+    bits = 1 << 10
+    while bits < min(FILTER_BITS, BITS_PER_WINDOW * count):
+        bits *= 2
+    out = Filter(bits)
+    places = F.array(*[F.shiftrightunsigned("h", p).bitwiseAND(F.lit(bits - 1)) for p in PROBES])
+    byte = windows.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 3).alias("byte"))
+    set_ = byte.agg(F.bit_or(F.expr("shiftleft(1, CAST(at & 7 AS INT))")).alias("v")).toArrow()  # at most a row per byte of the filter
+    out.bits[set_.column("byte").to_numpy()] = set_.column("v").to_numpy().astype(np.uint8)
+    return out, sorted(ks)
 
 
 def consistent(pairs: list[tuple[int, bytes, bytes]]) -> bool:
@@ -154,73 +200,96 @@ def consistent(pairs: list[tuple[int, bytes, bytes]]) -> bool:
     return good >= 0.9 * len(pairs)
 
 
-def leaks(t: Tokens, text: int, hits: list[tuple[int, int, int]], index: Index) -> list[tuple]:
-    """The items that one text holds: (item_id, windows found, windows of the item, first token, slots, changed slots)."""
-    runs: dict[int, dict[int, tuple]] = defaultdict(lambda: defaultdict(lambda: (set(), set())))
-    base = int(t.first[text])
-    for k, h, p in hits:
-        for number, q, same in index.at[(k, h)]:
-            alike, equal = runs[number][p - q]
-            if q in index.items[number][2]:
-                alike.add(q)
-            if same:
-                equal.add(q)
-    out = []
-    for number, by_offset in runs.items():
-        item_id, total, usable, k, slots = index.items[number]
-        found, template, literal, pairs, first = set(), set(), set(), [], None
-
-        def filled(qs, offset, k=k, slots=slots):
-            return [(slots[q][0], slots[q][1], t.value(offset + q)) for q in sorted({q + j for q in qs for j in range(k)}) if q in slots]
-
-        for offset, (alike, equal) in by_offset.items():
-            alike = alike if consistent(filled(alike, offset)) else set()
-            if qs := alike | equal:
-                found |= qs
-                template |= alike
-                literal |= equal
-                pairs += filled(qs, offset)
-                start = offset + min(qs) - base
-                first = start if first is None else min(first, start)
-        # enough template windows, or enough windows word for word
-        if (template and len(template) >= min(len(usable), NEEDED)) or len(literal) >= min(total, NEEDED):
-            out.append((item_id, len(found), total, first, len(pairs), sum(a != b for _, a, b in pairs)))
-    return out
+FOUND = "row long, doc_id long, mark long, h long, p int, fillers array<binary>"
+
+
+def candidates(docs: DataFrame, filter_: Filter, ks: list[int]) -> DataFrame:
+    """FOUND: the windows of all documents that pass the filter, with the values in their slots where they are templates."""
+
+    def rows(batches):
+        for b in batches:
+            at, hs, ps, fills = [], [], [], []
+            for row, data, off in chunks(b.column(3)):
+                t = Tokens(data, off)
+                last = t.first[1:]
+                for k in ks:
+                    for plain in (False, True):
+                        h = t.windows(k, plain)
+                        p = filter_.has(h)
+                        text = np.searchsorted(t.first, p, "right") - 1
+                        inside = p + k <= last[text]
+                        p, text = p[inside], text[inside]
+                        at.append(row + text)
+                        hs.append(h[p].view(np.int64))
+                        ps.append(p - t.first[text])
+                        fills += [[] if plain else [t.value(j) for j in range(i, i + k) if t.kind[j] != LITERAL] for i in p.tolist()]
+            take = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64), pa.int64())
+            own = [b.column(j).take(take) for j in range(3)]
+            yield pa.record_batch([*own, pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(np.concatenate(ps) if ps else [], pa.int32()), pa.array(fills, pa.list_(pa.binary()))], names=["row", "doc_id", "mark", "h", "p", "fillers"])
+
+    return small_batches(docs).mapInArrow(rows, FOUND)
+
+
+def verdict(hits: list[dict], total: int, n_usable: int) -> tuple | None:
+    """(windows found, first token, slots, changed slots) if the hits of an item in a text are a leak."""
+    offsets: dict[int, tuple[set, set, dict]] = defaultdict(lambda: (set(), set(), {}))
+    for x in hits:
+        alike, equal, slots = offsets[x["p"] - x["q"]]
+        if x["usable"]:
+            alike.add(x["q"])
+        if x["same"]:
+            equal.add(x["q"])
+        own = {x["q"] + s["j"]: (s["kind"], s["value"], s["value"] if x["same"] else v) for s, v in zip(x["slots"], x["fillers"] or [None] * len(x["slots"]))}
+        slots[(x["q"], x["same"])] = own
+    found, template, literal, n_slots, changed, first = set(), set(), set(), 0, 0, None
+    for offset, (alike, equal, slots) in offsets.items():
+
+        def filled(qs, slots=slots):
+            out = {}
+            for (q, _), own in slots.items():
+                if q in qs:
+                    out.update(own)
+            return [out[j] for j in sorted(out)]
+
+        alike = alike if consistent(filled(alike)) else set()
+        if qs := alike | equal:
+            pairs = filled(qs)
+            found |= qs
+            template |= alike
+            literal |= equal
+            n_slots, changed = n_slots + len(pairs), changed + sum(a != b for _, a, b in pairs)
+            first = offset + min(qs) if first is None else min(first, offset + min(qs))
+    # enough template windows, or enough windows word for word
+    if (template and len(template) >= min(n_usable, NEEDED)) or len(literal) >= min(total, NEEDED):
+        return len(found), first, n_slots, changed
+    return None
 
 
-def scan(column: pa.Array, index: Index):
-    """(row, leaks of that row's text) for the rows that have any."""
-    tables = index.lengths()
-    for row, data, off in chunks(column):
-        t = Tokens(data, off)
-        found = defaultdict(list)
-        last = t.first[1:]
-        for k, table in tables.items():
-            for h in (t.windows(k), t.windows(k, plain=True)):
-                at = np.searchsorted(table, h)
-                at[at == len(table)] = 0
-                for p in np.flatnonzero(table[at] == h):
-                    text = int(np.searchsorted(t.first, p, "right")) - 1
-                    if p + k <= last[text]:
-                        found[text].append((k, int(h[p]), int(p)))
-        for text in sorted(found):
-            if got := leaks(t, text, found[text], index):
-                yield row + text, got
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK):
-    """Indexes of at most ``most`` windows (and one item) each."""
-    index = Index()
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        index.add(r["item_id"], r["text"])
-        if index.size >= most:
-            yield index
-            index = Index()
-    if index.size:
-        yield index
+SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, first_token long, n_slots long, n_changed long"
 
 
-SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, first_token long, n_slots long, n_changed long"
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """SCHEMA and the mark (text hash) of every document and item it holds."""
+    windows = item_windows(benchmark)
+    if windows.isEmpty():
+        return docs.sparkSession.createDataFrame([], SCHEMA + ", mark long")
+    filter_, ks = window_filter(windows)
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    hits = candidates(own, filter_, ks).join(windows, "h")
+    hit = F.struct("q", "p", "usable", "same", "slots", "fillers")
+    # the hits of one document with one item, no more than the document has tokens
+    met = hits.groupBy("row", "number", "doc_id", "mark", "item_id", "total", "n_usable").agg(F.collect_list(hit).alias("hits"))
+
+    def rows(batches):
+        names = [c.split(" ")[0] for c in SCHEMA.split(", ")] + ["mark"]
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if got := verdict(r["hits"], r["total"], r["n_usable"]):
+                    out.append((r["doc_id"], r["item_id"], got[0], r["total"], *got[1:], r["mark"]))
+            yield pa.record_batch([pa.array([o[i] for o in out], pa.int64()) for i in range(len(names))], names=names)
+
+    return met.mapInArrow(rows, SCHEMA + ", mark long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -232,37 +301,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     value than the item's.
 
     * null and empty texts hold nothing; null items and items with fewer than
-      LITERALS tokens match nothing; an empty table gives no rows.
-    * repeated rows give repeated rows; null ids stay null.
+      LITERALS tokens match nothing; an empty table, of either kind, gives no rows.
+    * repeated rows give repeated rows, and so do repeated items; null ids stay null.
+    * doc_id and item_id are cast to long; one that isn't a number fails there in ANSI mode.
+    * a very long text is looked up whole; other columns are not looked at.
     """
-    src = docs.select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for index in blocks(benchmark):
-
-        def rows(batches, index=index):
-            names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-            for b in batches:
-                ids = b.column(0)
-                got = [(ids[r].as_py(), *x) for r, found in scan(b.column(1), index) for x in found]
-                yield pa.record_batch([pa.array([g[i] for g in got], pa.int64()) for i in range(len(names))], names=names)
-
-        part = small_batches(src).mapInArrow(rows, SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+    return _leaks(docs, benchmark).drop("mark")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item."""
-    for index in blocks(benchmark):
-
-        def rows(batches, index=index):
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                keep[[r for r, _ in scan(b.column("text"), index)]] = False
-                yield b.filter(pa.array(keep))
+    """``docs`` without the rows that hold a benchmark item.
 
-        docs = small_batches(docs).mapInArrow(rows, docs.schema)
-    return docs
+    Rows of one doc_id and text go or stay together.  The engine broadcasts the
+    keys of the leaks where they are few, and shuffles otherwise.
+    """
+    gone = cut(_leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__gone")).distinct())
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__gone")), "left_anti")
 
 
 def op10(spark, sf_dir):

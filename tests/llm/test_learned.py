@@ -114,11 +114,83 @@ def test_items_with_few_literals_are_found_word_for_word(make, spark):
     assert sorted(r["doc_id"] for r in decontamination.clean(make(rows), b).collect()) == [5, 10, 11, 13]
 
 
-def test_benchmark_blocks(make, spark, monkeypatch):
-    monkeypatch.setattr(decontamination.blocks, "__defaults__", (5,))
-    b = spark.createDataFrame(ITEMS, "item_id long, text string")
-    docs = make([(1, ITEMS[0][1]), (2, ITEMS[1][1] + " " + ITEMS[0][1])])
-    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, b).collect()) == [(1, 1), (2, 1), (2, 2)]
+def test_benchmark_filter_is_bounded(make, spark, monkeypatch):
+    """A filter far too small for the benchmark costs time, not results; repeated items are each found."""
+    b = spark.createDataFrame([*ITEMS, ITEMS[0]], "item_id long, text string")
+    docs = make([(1, ITEMS[0][1]), (2, ITEMS[1][1] + " " + ITEMS[0][1]), (3, "nothing of that kind is here " * 20)])
+    want = [(1, 1), (1, 1), (2, 1), (2, 1), (2, 2)]
+    for bits in (1 << 28, 1 << 6):
+        monkeypatch.setattr(decontamination, "FILTER_BITS", bits)
+        assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, b).collect()) == want
+
+
+def brute_templates(text):
+    """(kind, key, value) of every token, by a plain reading of the rules for ASCII texts."""
+    import re
+
+    out, opening, before = [], True, None
+    for m in re.finditer(r"[0-9A-Za-z]+(?:[.,](?<=[0-9][.,])(?=[0-9])[0-9A-Za-z]+)*|[\n!.:;?]", text):
+        w = m.group()
+        if re.fullmatch(r"[\n!.:;?]", w):
+            opening = True
+            continue
+        if w[0].isdigit():
+            kind = "number"
+        elif before == "number" and w.lower() in decontamination.UNITS:
+            kind = "unit"
+        elif w[0].isupper() and not opening and not w[1:2].isupper():
+            kind = "name"
+        else:
+            kind = None
+        out.append((kind, w.lower()))
+        before, opening = kind, False
+    return out
+
+
+def test_reparameterised_items_by_brute_force(make, spark):
+    """Items with new numbers, names and units are found exactly where aligned templates with one renaming say so."""
+    rng = random.Random(8)
+    plain = "the of how many does each then when if there are in total after giving some away more than left now".split()
+    names, units = "Ada Bob Cy Dee Eve Flo Gus Hal".split(), "kg miles hours dollars litres".split()
+
+    def say(slots):
+        return " ".join(f"{w}" if not isinstance(w, tuple) else slots[w] for w in words)
+
+    items, docs = [], []
+    for i in range(12):
+        words = [rng.choice(plain) for _ in range(26)]
+        for at in rng.sample(range(1, 25), 7):
+            words[at] = rng.choice([("name", rng.randint(0, 1)), ("number", rng.randint(0, 2))])
+        fill = lambda: {**dict(zip([("name", k) for k in range(2)], rng.sample(names, 2))), **dict(zip([("number", k) for k in range(3)], map(str, rng.sample(range(2, 99), 3))))}
+        items.append((i, say(fill()) + f" in {rng.randint(100, 200)} {rng.choice(units)} of it all as told"))
+        docs.append((100 + i, "Before that. " + say(fill()) + " after that"))
+        mixed = [w if not isinstance(w, tuple) else fill()[w] for w in words]
+        docs.append((200 + i, "Before that. " + " ".join(mixed) + " after that"))
+    docs += [(300, " ".join(plain * 9)), (301, items[0][1] + ". " + items[1][1])]
+    b = spark.createDataFrame(items, "item_id long, text string")
+
+    def holds(doc, item):
+        d, t = brute_templates(doc), brute_templates(item)
+        k = min(8, len(t))
+        found, same = set(), set()
+        for offset in range(-len(t), len(d)):
+            qs = [q for q in range(len(t) - k + 1) if 0 <= q + offset <= len(d) - k]
+            alike = {q for q in qs if all((x[0] or x[1]) == (y[0] or y[1]) for x, y in zip(t[q : q + k], d[q + offset : q + offset + k])) and sum(x[0] is None for x in t[q : q + k]) >= 4}
+            equal = {q for q in qs if [x[1] for x in t[q : q + k]] == [y[1] for y in d[q + offset : q + offset + k]]}
+            slots = sorted({j for q in alike for j in range(q, q + k) if t[j][0]})
+            there, back, good = {}, {}, 0
+            for j in slots:
+                a, c = (t[j][0], t[j][1]), (t[j][0], d[j + offset][1])
+                good += there.setdefault(a, c) == c and back.setdefault(c, a) == a
+            if good >= 0.9 * len(slots):
+                found |= alike
+            same |= equal
+        usable = sum(sum(x[0] is None for x in t[q : q + k]) >= 4 for q in range(len(t) - k + 1))
+        return bool(found) and len(found) >= min(usable, 4) or len(same) >= min(len(t) - k + 1, 4)
+
+    want = {(d, i) for d, x in docs for i, y in items if holds(x, y)}
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(make(docs), b).collect()}
+    assert got == want and sum(d < 200 for d, _ in want) >= 10 and sum(200 <= d < 300 for d, _ in want) < 12
 
 
 def test_decontamination_finds_all_literal_leaks(spark):
