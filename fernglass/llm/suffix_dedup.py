@@ -17,6 +17,10 @@ its strings.  A run whose anchor has also been seen in a different run is
 undecided; round two indexes its single strings in the same way.  What comes
 back to a document is a byte per run or string, in order, so the text itself is
 shuffled once per round and never replicated.
+
+A passage that stands in every document is met once per batch of texts and not
+once per document: within a batch only the first document asks for a key, and
+the others, which have an earlier one beside them, are answered on the spot.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +43,9 @@ SPAN = LENGTH - GRAM + 1
 PLACE = U((1 << 31) - 1)
 #: Text bytes of a partition of suffixes, of a bucket of texts, of a message's batch; keys of an index batch.
 PART_MB, BUCKET_MB, MESSAGE_BYTES, BATCH = 48, 16, 32 << 20, 1 << 18
-MAX_PARTS = 32_768
 CHUNK = 1 << 19
+#: Stands for a null doc_id, before all others.
+LOWEST = -(1 << 63)
 
 
 class Runs:
@@ -94,6 +100,17 @@ class Family:
         first[1:] = keys[1:] != keys[:-1]
         return keys[first], docs[first]
 
+    @staticmethod
+    def _merged(one, two):
+        keys, docs = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
+        order = np.argsort(keys, kind="stable")  # two sorted runs, which it merges
+        keys, docs = keys[order], docs[order]
+        again = np.flatnonzero(keys[1:] == keys[:-1])
+        docs[again] = np.minimum(docs[again], docs[again + 1])
+        first = np.ones(len(keys), bool)
+        first[again + 1] = False
+        return keys[first], docs[first]
+
     def add(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Index a batch; returns for each of its keys the least document that has it, in this batch or before."""
         own, first = self._sorted(keys, docs)
@@ -105,8 +122,7 @@ class Family:
             least[hit] = np.minimum(least[hit], there[at[hit]])
         self.levels.append((own, first))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (k1, d1), (k2, d2) = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._sorted(np.concatenate([k2, k1]), np.concatenate([d2, d1])))
+            self.levels.append(self._merged(self.levels.pop(), self.levels.pop()))
         return least[np.searchsorted(own, keys)]
 
 
@@ -125,49 +141,96 @@ def spread(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U(40)) % U(parts)).astype(np.int64)
 
 
-MESSAGE = "part int, docs binary, marks binary, counts binary, keys binary, anchors binary"
-REPLY = "bucket int, part int, docs binary, marks binary, counts binary, codes binary"
+MESSAGE = "part int, own int, batch long, docs binary, marks binary, counts binary, keys binary, anchors binary"
+REPLY = "bucket int, part int, batch long, local boolean, docs binary, marks binary, counts binary, codes binary"
+#: What a batch decides itself: a document before has the key; the document has no id, so none is before.
+ASK, COVERED, FREE = 0, 1, 2
+
+
+def decided(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """ASK, COVERED or FREE for each key of a batch and its document; every key's first document asks, or stays for it."""
+    out = np.zeros(len(keys), np.uint8)
+    if not len(keys):
+        return out
+    order = np.lexsort((doc, keys))
+    sorted_keys, sorted_doc = keys[order], doc[order]
+    heads = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
+    least = np.repeat(sorted_doc[heads], np.diff(np.r_[heads, len(keys)]))
+    out[order] = np.where(sorted_doc > least, COVERED, ASK)
+    seen = np.ones(len(keys), bool)
+    seen[heads] = False
+    out[order[seen & (sorted_doc == LOWEST)]] = FREE
+    return out
+
 
+def message_rows(doc: np.ndarray, mark: np.ndarray, text: np.ndarray, keys: np.ndarray, anchors: np.ndarray | None, parts: int, batch: int):
+    """Rows of MESSAGE; text numbers the rows of doc and mark, ascending.
 
-def message_rows(doc: np.ndarray, mark: np.ndarray, text: np.ndarray, keys: np.ndarray, anchors: np.ndarray | None, parts: int):
-    """Rows of MESSAGE; text numbers the rows of doc and mark, ascending."""
+    Rows whose ``own`` is a part carry what was decided here; they go to any part, by document, and pass through it.
+    """
     part = spread(anchors if anchors is not None else keys, parts)
     order = np.argsort(part.astype(np.uint16) if parts <= 65_536 else part, kind="stable")
     ends = np.searchsorted(part[order], np.arange(parts + 1))
-    out = []
+    known, out = decided(keys, doc[text]), []
     for p in np.flatnonzero(np.diff(ends)):
         rows = order[ends[p] : ends[p + 1]]
-        t, n = np.unique(text[rows], return_counts=True)
-        low = (anchors[rows] & U(0xFFFFFFFF)).astype(np.uint32).tobytes() if anchors is not None else b""
-        out.append((int(p), doc[t].tobytes(), mark[t].tobytes(), n.astype(np.uint32).tobytes(), keys[rows].tobytes(), low))
+        here = known[rows] != ASK
+        if here.any():
+            t, start, n = np.unique(text[rows], return_index=True, return_counts=True)
+            some = np.add.reduceat(here, start, dtype=np.int64) > 0
+            route = (mix(doc[t].view(np.uint64) ^ mark[t]) % U(parts)).astype(np.int64)
+            for r in np.unique(route[some]):
+                at = np.flatnonzero(some & (route == r))
+                codes = np.concatenate([known[rows[start[i] : start[i] + n[i]]] for i in at])
+                out.append((int(r), int(p), batch, doc[t[at]].tobytes(), mark[t[at]].tobytes(), n[at].astype(np.uint32).tobytes(), codes.tobytes(), b""))
+            rows = rows[~here]
+        if len(rows):
+            t, n = np.unique(text[rows], return_counts=True)
+            low = (anchors[rows] & U(0xFFFFFFFF)).astype(np.uint32).tobytes() if anchors is not None else b""
+            out.append((int(p), -1, batch, doc[t].tobytes(), mark[t].tobytes(), n.astype(np.uint32).tobytes(), keys[rows].tobytes(), low))
     return out
 
 
 def table_of(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     fields = [c.split(" ") for c in schema.split(", ")]
     return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)})
 
 
-def marks_of(runs_prefix: Prefix, off: np.ndarray) -> np.ndarray:
-    """32 bits of every text's hash, which tell rows of one doc_id apart."""
-    return (runs_prefix.of(off[:-1], off[1:]) & U(0xFFFFFFFF)).astype(np.uint32)
+def marks_of(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """64 bits of every text's hash, which tell rows of one doc_id apart."""
+    return np.array([mark_of(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], np.uint64)
+
+
+def firsts(doc: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its doc and mark; repeated rows get the same answers, so the first asks for all."""
+    seen: dict[tuple, int] = {}
+    return np.array([seen.setdefault(who, i) == i for i, who in enumerate(zip(doc.tolist(), mark.tolist()))], bool)
+
+
+def mark_of(text) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
 
 
 def run_messages(docs: DataFrame, parts: int) -> DataFrame:
     def rows(batches):
         held, size, base = [], 0, 0
+        batch = TaskContext.get().partitionId() << 32
 
         def flush():
+            nonlocal batch
+            batch += 1
             doc, mark, text, code, anchor = (np.concatenate(x) for x in zip(*held))
-            return table_of(message_rows(doc, mark, text, code, anchor, parts), MESSAGE).to_batches()
+            asks = firsts(doc, mark)[text]
+            text, code, anchor = text[asks], code[asks], anchor[asks]
+            return table_of(message_rows(doc, mark, text, code, anchor, parts, batch), MESSAGE).to_batches()
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, data, off in chunks(b.column(1), CHUNK):
                 r = Runs(data, off)
                 n = len(off) - 1
-                held.append((ids[row : row + n], marks_of(r.prefix, off), r.text + base, r.code, r.anchor))
+                held.append((ids[row : row + n], marks_of(data, off), r.text + base, r.code, r.anchor))
                 base, size = base + n, size + len(data)
                 if size >= MESSAGE_BYTES:
                     yield from flush()
@@ -184,47 +247,68 @@ def replies(messages: DataFrame, buckets: int, runs: bool) -> DataFrame:
     Documents without any code don't come back.
     """
 
-    def decide(key: tuple, t: pa.Table) -> pa.Table:
-        whole = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
-        docs, marks, counts, keys = whole("docs", np.int64), whole("marks", np.uint32), whole("counts", np.uint32).astype(np.int64), whole("keys", np.uint64)
-        doc = np.repeat(docs, counts)
-        codes = (first_docs(keys, doc) < doc).astype(np.uint8)
-        if runs:
-            anchors = whole("anchors", np.uint32)
-            order = np.argsort(anchors, kind="stable")
-            heads = np.flatnonzero(np.r_[True, anchors[order][1:] != anchors[order][:-1]])
-            sorted_keys = keys[order]
-            many = np.minimum.reduceat(sorted_keys, heads) != np.maximum.reduceat(sorted_keys, heads)
-            undecided = np.empty(len(keys), bool)
-            undecided[order] = np.repeat(many, np.diff(np.r_[heads, len(keys)]))
-            codes[undecided & (codes == 0)] = 2
+    def replied(t: pa.Table, part: int | None, batches: np.ndarray, docs, marks, counts, codes, local: bool, out: list):
         starts = np.cumsum(counts) - counts
         some = np.flatnonzero(np.add.reduceat(codes, starts, dtype=np.int64) > 0) if len(starts) else starts
-        bucket = bucket_of(docs[some], buckets)
-        out = []
-        for at in np.unique(bucket):
-            rows = some[bucket == at]
+        bucket = bucket_of(docs[some], marks[some], buckets)
+        order = np.lexsort((batches[some], bucket))
+        some, bucket = some[order], bucket[order]
+        heads = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (batches[some][1:] != batches[some][:-1])]) if len(some) else []
+        for a, b in zip(heads, np.r_[heads[1:], len(some)] if len(some) else []):
+            rows = some[a:b]
             n = counts[rows]
             where = np.repeat(starts[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append((int(at), int(key[0].as_py()), docs[rows].tobytes(), marks[rows].tobytes(), n.astype(np.uint32).tobytes(), codes[where].tobytes()))
+            out.append((int(bucket[a]), part, int(batches[rows[0]]), local, docs[rows].tobytes(), marks[rows].tobytes(), n.astype(np.uint32).tobytes(), codes[where].tobytes()))
+
+    def decide(key: tuple, t: pa.Table) -> pa.Table:
+        out, own = [], t.column("own").to_numpy()
+
+        def columns(t: pa.Table):
+            whole = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
+            docs, marks, counts = whole("docs", np.int64), whole("marks", np.uint64), whole("counts", np.uint32).astype(np.int64)
+            per = [len(x) // 8 for x in t.column("docs").to_pylist()]
+            return whole, docs, marks, counts, np.repeat(t.column("batch").to_numpy(), per)
+
+        for p in np.unique(own[own >= 0]):  # decided before
+            mine = t.filter(pa.array(own == p))
+            whole, docs, marks, counts, batches = columns(mine)
+            replied(mine, int(p), batches, docs, marks, counts, whole("keys", np.uint8), True, out)
+        t = t.filter(pa.array(own < 0))
+        if t.num_rows:
+            whole, docs, marks, counts, batches = columns(t)
+            keys, doc = whole("keys", np.uint64), np.repeat(docs, counts)
+            codes = (first_docs(keys, doc) < doc).astype(np.uint8)
+            if runs:
+                anchors = whole("anchors", np.uint32)
+                order = np.argsort(anchors, kind="stable")
+                heads = np.flatnonzero(np.r_[True, anchors[order][1:] != anchors[order][:-1]])
+                sorted_keys = keys[order]
+                many = np.minimum.reduceat(sorted_keys, heads) != np.maximum.reduceat(sorted_keys, heads)
+                undecided = np.empty(len(keys), bool)
+                undecided[order] = np.repeat(many, np.diff(np.r_[heads, len(keys)]))
+                codes[undecided & (codes == 0)] = 2
+            replied(t, int(key[0].as_py()), batches, docs, marks, counts, codes, False, out)
         return table_of(out, REPLY)
 
     return messages.groupBy("part").applyInArrow(decide, REPLY)
 
 
-def bucket_of(docs: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(docs.view(np.uint64)) % U(buckets)).astype(np.int64)
+def bucket_of(docs: np.ndarray, marks: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(docs.view(np.uint64) ^ mix(marks)) % U(buckets)).astype(np.int64)
 
 
 class Answers:
-    """What came back for a bucket: (doc, mark) -> [(part, codes)]."""
+    """What came back for a bucket: (doc, mark) -> (part, batch) -> [what the batch decided, the answers to the rest].
+
+    Rows of one doc_id and text get the same whichever batch they were in, so one batch's pair is enough.
+    """
 
     def __init__(self, t: pa.Table):
-        self.by = defaultdict(list)
+        self.by = defaultdict(lambda: defaultdict(lambda: [None, None]))
         for r in t.to_pylist():
             codes, at = np.frombuffer(r["codes"], np.uint8), 0
-            for d, m, n in zip(np.frombuffer(r["docs"], np.int64).tolist(), np.frombuffer(r["marks"], np.uint32).tolist(), np.frombuffer(r["counts"], np.uint32).tolist()):
-                self.by[(d, m)].append((r["part"], codes[at : at + n]))
+            for d, m, n in zip(np.frombuffer(r["docs"], np.int64).tolist(), np.frombuffer(r["marks"], np.uint64).tolist(), np.frombuffer(r["counts"], np.uint32).tolist()):
+                self.by[(d, m)][(r["part"], r["batch"])][0 if r["local"] else 1] = codes[at : at + n]
                 at += n
 
     def apply(self, doc: np.ndarray, mark: np.ndarray, text: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -236,33 +320,42 @@ class Answers:
                 own = part[ends[i] : ends[i + 1]]
                 order = np.argsort(own, kind="stable")
                 sorted_part = own[order]
-                for p, codes in got:
+                for (p, _), (local, rest) in got.items():
                     a, b = np.searchsorted(sorted_part, [p, p + 1])
-                    if b - a == len(codes):  # else it answers a repeated row, in which all is the same
-                        out[ends[i] + order[a:b]] = codes
-                    elif b > a and len(codes) % (b - a) == 0:
-                        out[ends[i] + order[a:b]] = codes[: b - a]
+                    codes = np.zeros(b - a, np.uint8)
+                    open_ = np.ones(b - a, bool)
+                    if local is not None:
+                        codes[local == COVERED] = 1
+                        open_ = local == ASK
+                    if rest is not None:
+                        codes[open_] = rest
+                    at = ends[i] + order[a:b]
+                    out[at] = np.where((codes == 1) | (out[at] == 1), 1, np.maximum(codes, out[at]))
         return out
 
 
-TEXTS = "bucket int, docs binary, sizes binary, texts binary"
+TEXTS = "bucket int, docs binary, marks binary, copies binary, sizes binary, texts binary"
 
 
 def texts_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of TEXTS: the texts of a batch that fall to one bucket, end to end and compressed."""
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    """Rows of TEXTS: the texts of a batch that fall to one bucket, end to end and compressed; equal rows once, with their number."""
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
 
     def rows(batches):
         press = zstandard.ZstdCompressor(level=3)
 
         def packed(held):
             own, texts = np.concatenate([h[0] for h in held]), [t for h in held for t in h[1]]
-            bucket, out = bucket_of(own, buckets), []
+            mark = np.array([mark_of(t) for t in texts], np.uint64)
+            first: dict[tuple, int] = {}
+            same = np.array([first.setdefault((d, t), i) for i, (d, t) in enumerate(zip(own.tolist(), texts))])
+            copies = np.bincount(same, minlength=len(texts))
+            bucket, out = bucket_of(own, mark, buckets), []
             for at in np.unique(bucket):
-                rows = np.flatnonzero(bucket == at)
+                rows = np.flatnonzero((bucket == at) & (copies > 0))
                 mine = [texts[i] for i in rows]
                 sizes = np.array([len(x) for x in mine], np.int64)
-                out.append((int(at), own[rows].tobytes(), sizes.tobytes(), press.compress(b"".join(mine))))
+                out.append((int(at), own[rows].tobytes(), mark[rows].tobytes(), copies[rows].astype(np.int64).tobytes(), sizes.tobytes(), press.compress(b"".join(mine))))
             return table_of(out, TEXTS).to_batches()
 
         held, size = [], 0
@@ -280,16 +373,16 @@ def texts_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def unpacked(t: pa.Table):
-    """(doc ids, bytes, offsets) of consecutive texts of a bucket, about CHUNK bytes at a time."""
+    """(doc ids, marks, copies, bytes, offsets) of consecutive texts of a bucket, about CHUNK bytes at a time."""
     open_ = zstandard.ZstdDecompressor()
     for i in range(t.num_rows):
-        docs, sizes = np.frombuffer(t.column("docs")[i].as_py(), np.int64), np.frombuffer(t.column("sizes")[i].as_py(), np.int64)
+        docs, marks, copies, sizes = (np.frombuffer(t.column(c)[i].as_py(), k) for c, k in (("docs", np.int64), ("marks", np.uint64), ("copies", np.int64), ("sizes", np.int64)))
         total = int(sizes.sum())
         data = np.frombuffer(open_.decompress(t.column("texts")[i].as_py(), max_output_size=max(1, total)) if total else b"", np.uint8)
         off, row = np.r_[0, np.cumsum(sizes)], 0
         while row < len(docs):
             end = min(len(docs), max(row + 1, int(np.searchsorted(off, off[row] + CHUNK, "right")) - 1))
-            yield docs[row:end], data[off[row] : off[end]], off[row : end + 1] - off[row]
+            yield docs[row:end], marks[row:end], copies[row:end], data[off[row] : off[end]], off[row : end + 1] - off[row]
             row = end
 
 
@@ -299,9 +392,8 @@ def string_messages(texts: DataFrame, first: DataFrame, parts: int) -> DataFrame
     def rows(t: pa.Table, replied: pa.Table) -> pa.Table:
         answers, held, base = Answers(replied), [], 0
         if answers.by:
-            for doc, data, off in unpacked(t):
+            for doc, mark, _, data, off in unpacked(t):
                 r, n = Runs(data, off), len(doc)
-                mark = marks_of(r.prefix, off)
                 codes = answers.apply(doc, mark, r.text, spread(r.anchor, parts))
                 p, text = r.strings(np.flatnonzero(codes == 2))
                 if len(p):
@@ -310,7 +402,9 @@ def string_messages(texts: DataFrame, first: DataFrame, parts: int) -> DataFrame
         if not held:
             return table_of([], MESSAGE)
         doc, mark, text, keys = (np.concatenate(x) for x in zip(*held))
-        return table_of(message_rows(doc, mark, text, keys, None, parts), MESSAGE)
+        asks = firsts(doc, mark)[text]
+        text, keys = text[asks], keys[asks]
+        return table_of(message_rows(doc, mark, text, keys, None, parts, int(t.column("bucket")[0].as_py())), MESSAGE)
 
     return texts.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(rows, MESSAGE)
 
@@ -326,9 +420,8 @@ def removal(texts: DataFrame, both: DataFrame, parts: int, keep: bool) -> DataFr
         level = replied.column("round").to_numpy() if replied.num_rows else np.zeros(0)
         one, two = (Answers(replied.filter(pa.array(level == k))) for k in (1, 2))
         out = []
-        for doc, data, off in unpacked(t):
+        for doc, mark, copies, data, off in unpacked(t):
             r, n = Runs(data, off), len(doc)
-            mark = marks_of(r.prefix, off)
             codes = one.apply(doc, mark, r.text, spread(r.anchor, parts))
             edge = np.zeros(len(data) + 1, np.int32)
             full = codes == 1
@@ -349,10 +442,12 @@ def removal(texts: DataFrame, both: DataFrame, parts: int, keep: bool) -> DataFr
             for i in range(n):
                 a, b = off[i], off[i + 1]
                 kept = data[a:b][~gone[a:b]].tobytes()
-                out.append((int(doc[i]), int(b - a), int(removed[b] - removed[a]), int(spans[b] - spans[a]), hashlib.sha256(kept).hexdigest(), *([kept] * keep)))
-        return table_of(out, RESULT + KEPT * keep)
+                out.append((int(doc[i]), int(b - a), int(removed[b] - removed[a]), int(spans[b] - spans[a]), hashlib.sha256(kept).hexdigest(), *([kept] * keep), int(copies[i])))
+        return table_of(out, schema)
 
-    return texts.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(rows, RESULT + KEPT * keep)
+    schema = RESULT + KEPT * keep + ", copies long"
+    out = texts.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(rows, schema)
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
 
 
 def remove_repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
@@ -361,19 +456,21 @@ def remove_repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
     * null text: as an empty one.  Texts under LENGTH bytes lose nothing.
     * null doc_id: before all other ids, and null in the result.
     * rows with one doc_id never lose anything to each other; repeated rows are repeated.
-    * an empty table gives no rows.
+    * a very long text is one message and one text of a bucket; its arrays take some 40 bytes per byte.
+    * doc_id is cast to long; one that isn't a number fails there in ANSI mode.
+    * an empty table gives no rows; columns of ``docs`` other than doc_id and text are not looked at.
     """
     total = small_batches(docs).select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    parts = min(MAX_PARTS, max(8, -(-total // (PART_MB << 20))))
+    parts = max(8, -(-total // (PART_MB << 20)))
     buckets = max(8, -(-total // (BUCKET_MB << 20)))
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     first = cut(replies(run_messages(docs.select(ids.alias("doc"), F.col("text").cast("binary").alias("text")), parts), buckets, runs=True))
     texts = texts_by_bucket(docs, buckets)
     # not cut: within one plan the texts' exchange serves both rounds
     second = replies(string_messages(texts, first, parts), buckets, runs=False)
     both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     out = removal(texts, both, parts, keep)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(LOWEST), F.col("doc_id")))
 
 
 def op7(spark, sf_dir):

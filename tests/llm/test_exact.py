@@ -482,3 +482,30 @@ def test_exact_candidates_find_no_other_links(make):
     want = brute_components(rows)
     for exact in (False, True):
         assert collect(ngram_join.jaccard_components(make(rows), exact), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_a_passage_in_all_documents_is_asked_for_once_a_batch():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    keys = np.r_[np.full(500, 7), rng.integers(100, 1 << 60, 500)].astype(np.uint64)
+    doc = np.r_[np.arange(500), np.arange(500)]
+    known = suffix_dedup.decided(keys, doc)
+    assert (known[1:500] == suffix_dedup.COVERED).all() and known[0] == suffix_dedup.ASK and (known[500:] == suffix_dedup.ASK).all()
+    rows = suffix_dedup.message_rows(doc, doc.astype(np.uint64), np.arange(1000) % 500, keys, keys, 4, 1)
+    assert sum(len(r[6]) // 8 for r in rows if r[1] < 0) == 501
+    none = suffix_dedup.decided(np.full(9, 5, np.uint64), np.full(9, suffix_dedup.LOWEST))
+    assert sorted(none.tolist()) == [suffix_dedup.ASK] + [suffix_dedup.FREE] * 8
+
+
+def test_suffix_dedup_of_common_passages_and_repeated_rows(make):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    passage, other = (" ".join(word() for _ in range(14)) for _ in range(2))
+    rows = []
+    for i in range(120):
+        d = None if i % 4 == 0 else i // 2 if i % 4 == 1 else 40 if i % 4 == 2 else i
+        rows.append((d, f"{word()} {word()}{passage if i % 3 else other} {word()} {passage[10:] if i % 5 == 0 else ''} {word()}"))
+    rows += [(40, rows[2][1])] * 7 + [(None, rows[0][1])] * 5
+    got = suffix_dedup.remove_repeats(make(rows).repartition(5))
+    assert collect(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
