@@ -360,6 +360,41 @@ def test_license_scan(make):
     assert all(0 <= r["score"] <= 1 for r in got.collect())
 
 
+def brute_license(rows):
+    """labels and score: every template at every alignment."""
+    find = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOW))
+    index, n = license_scan.phrases(), len(rows)
+    have = [set(find(t)) for _, t in rows]
+    idf = {w: math.log((n + 1) / (sum(w in x for x in have) + 0.5)) for w in license_scan.vocabulary()}
+    names, out = [*license_scan.BASE.values(), *license_scan.TEMPLATES], []
+    for d, t in rows:
+        w, labels, score = find(t), set(), 0.0
+        for k, (ws, a, b) in enumerate(index):
+            for start in range(-len(ws), len(w)):
+                at = [0 <= start + j < len(w) and w[start + j] == x for j, x in enumerate(ws)]
+                if all(at[a:b]):
+                    share = 1.0 if k < len(license_scan.BASE) else sum(idf[x] for x, y in zip(ws, at) if y) / sum(idf[x] for x in ws)
+                    score = max(score, share)
+                    if share >= 0.75:
+                        labels.add(names[k])
+        out.append((d, ",".join(sorted(labels)), round(min(1.0, score), 9)))
+    return sorted(out, key=lambda t: tuple((x is not None, x) for x in t))
+
+
+def test_license_labels_and_score_by_brute_force(make):
+    rng = random.Random(6)
+    rows = list(LICENSES)
+    for i, (text, _) in enumerate(license_scan.TEMPLATES.values()):
+        w = text.split()
+        rows.append((100 + i, f"# {text}\n# more of the work"))
+        for at in rng.sample(range(len(w)), min(2, len(w))):
+            w[at] = rng.choice(["other", "word", "é"])
+        rows += [(200 + i, "x y " + " ".join(w)), (300 + i, " ".join(text.split()[3:])), (400 + i, f"plain words {i} for the rest of it"), (500 + i, "\n// ".join([text] * 3))]
+    got = license_scan.scan(make(rows)).collect()
+    assert sorted(((r["doc_id"], r["labels"], round(r["score"], 9)) for r in got), key=lambda t: tuple((x is not None, x) for x in t)) == brute_license(rows)
+    assert sum(bool(r["labels"]) for r in got) > 40
+
+
 def test_license_without_its_rarest_word(make):
     texts = ["according to the terms of the Mozilla Public License, v. 2.0", "Permision is hereby granted, free of charge, to any person obtaining a copy of this software", "The usage and use in source and binary forms, with or without modification, are permitted"]
     rows = list(enumerate(texts)) + [(100 + i, f"ordinary text {i}") for i in range(30)]
