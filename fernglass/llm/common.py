@@ -20,17 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (unit tests on one machine) is a temporary one chosen.
+    The folder is the cluster's ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fernglass-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset and all runs on one machine, as in tests, a temporary folder."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="fernglass-")
+
+
 #: Rows of an Arrow batch of texts; a batch is held several times over between the JVM and Python.
 BATCH_ROWS = 1000
 

@@ -34,7 +34,9 @@ def components(edges: DataFrame, most: int = 40, edges_per_task: int = 100_000)
     """(node, root) for every node of ``edges`` (u, v): root is the least node of its component.
 
     Loops and repeated edges don't matter; no edges give no rows.  A small
-    graph is worked on in few tasks.
+    graph is worked on in few tasks.  Rounds grow with the logarithm of a
+    component's size; after ``most`` of them without an end it is an error
+    rather than a result that isn't whole.
     """
     now = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None

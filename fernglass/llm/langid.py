@@ -141,6 +141,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     * no labelled row to learn from: ``und`` everywhere.
     * ``rejected`` marks texts below the calibrated threshold; they keep the likeliest language.
     * null doc_id: its crc32 is null and the row counts as learned from, not held out.
+    * repeated rows are repeated and get the same prediction; an empty table gives no rows.
+    * a very long text is one histogram; of equally likely languages the first by code point.
+    * doc_id is cast to long; one that isn't a number fails there in ANSI mode; other columns are not looked at.
     """
 
     def rows(batches):

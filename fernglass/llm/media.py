@@ -100,18 +100,20 @@ def fingerprint(samples: bytes, piece: int = 1 << 22) -> tuple[np.ndarray, np.nd
 
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, n_landmarks long"
+    "media_sha256 string, feature string, n_landmarks long, landmark_time array<int>, landmark_hash array<int>"
 )
-FULL = ", media binary, landmark_time array<int>, landmark_hash array<int>"
+FULL = ", media binary"
 
 
 def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """One row per input row with the digests of SCHEMA; ``keep_media`` adds the WAV file and its time-coded arrays.
+    """One row per input row with the digests and time-coded arrays of SCHEMA; ``keep_media`` adds the WAV file.
 
     ``feature`` is ``<landmarks>:<sha256 of the time-coded arrays, 32 digits>``; equal texts have equal values.
 
     * null and empty text: 64 zero bytes of payload, n_bytes 0.
-    * null doc_id stays null; repeated rows are repeated; no rows give no rows.
+    * a very long text is transformed a piece at a time; of equally strong peaks the choice is numpy's, the same for equal texts.
+    * doc_id is cast to long; one that isn't a number fails there in ANSI mode.
+    * null doc_id stays null; repeated rows are repeated; no rows give no rows; other columns are not looked at.
     """
 
     def rows(batches):
@@ -128,7 +130,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                     ids[i].as_py(), len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]),
                     len(stored), hashlib.sha256(stored).hexdigest(), f"{len(t)}:{code}", len(t),
                 )
-                for k, v in zip(names, (*made, stored, t, h)):
+                for k, v in zip(names, (*made, t, h, stored)):
                     out[k].append(v)
                 if len(out["doc_id"]) >= 512:
                     yield pa.record_batch([pa.array(out[f.name], f.type) for f in fields], names=names)

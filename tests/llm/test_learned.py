@@ -27,9 +27,10 @@ def test_language_held_out(sample):
 
 def test_language_odd_inputs(make):
     rows = [(i, f"the house and the garden {i} of the king" if i % 2 else f"das haus und der garten {i} des königs", "en" if i % 2 else "de") for i in range(60)]
-    rows += [(100, None, "en"), (101, "", None), (102, "12 + 34!", "de"), (103, "das alte haus und der hof", None), (None, "the old house", "en"), (104, "é" * 50_000, None)]
-    got = {r["doc_id"]: r for r in langid.identify(make(rows)).collect()}
-    assert len(got) == len(rows)
+    rows += [(100, None, "en"), (101, "", None), (102, "12 + 34!", "de"), (103, "das alte haus und der hof", None), (None, "the old house", "en"), (104, "é" * 50_000, None), (103, "das alte haus und der hof", None)]
+    every = langid.identify(make(rows)).collect()
+    got = {r["doc_id"]: r for r in every}
+    assert len(every) == len(rows) and len({r["score"] for r in every if r["doc_id"] == 103}) == 1
     assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (100, 101, 102))
     assert got[103]["lang_pred"] == "de" and got[None]["lang_pred"] == "en" and got[104]["lang_pred"] in ("en", "de")
     assert langid.identify(make([])).count() == 0
@@ -231,6 +232,31 @@ def test_pipeline(spark):
     assert C.run(spark, DATA).count() == final.count()
 
 
+def test_pipeline_on_odd_tables(make, spark, tmp_path):
+    """Null ids and texts, repeated rows, extra columns; and no rows at all."""
+    import corpus_pipeline as C
+
+    words = [f"w{k}" for k in range(400)]
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en", rng.choice(["a", None, "b"])) for i in range(60)]
+    rows += [(None, None), (None, ""), (70, None), (71, "")] + [rows[3]] * 4 + [(None, rows[5][1], "en", "a")] * 3 + [(80, rows[7][1] + " and more", "en", "b"), (81, ITEMS[0][1] + " " + rows[9][1])]
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for part, some in (("full", rows), ("none", [])):
+        seen = make(some).cache()
+        for name, stage in C.STAGES[:-1]:
+            out = stage(spark, seen, str(tmp_path)).cache()
+            assert out.columns == seen.columns, name
+            ids = [(r["doc_id"], r["text"]) for r in out.collect()]
+            assert set(ids) <= {(r["doc_id"], r["text"]) for r in seen.collect()}, name
+            if name == "ngram_join" and some:
+                assert (None, rows[5][1]) not in ids and len(ids) == len(set(ids)) and not any(d == 80 and (7, rows[7][1]) in ids for d, _ in ids)
+            if name == "decontamination" and some:
+                assert 81 not in {d for d, _ in ids}
+            seen = out
+        assert C.STAGES[-1][1](spark, seen, str(tmp_path)).count() == seen.count()
+
+
 def test_sql_agrees(spark):
     import duckdb
 
