@@ -186,6 +186,7 @@ class Planner:
         self.df = records.df
         self.projections: dict[str, Val] = {}
         self.sites = 0
+        self.derefs: dict[tuple[str, str], Val] = {}
         self.this: Val | None = None
         self.has_facts = False
 
@@ -282,14 +283,18 @@ class Planner:
         """One left join on the resolved path of a link."""
         if link.record is not None:
             return self._record(link.record)
+        origin = link.origin if link.origin is not None else F.col("path")
+        site = (str(link.col), str(origin))
+        if site in self.derefs:  # the same link again is the same join
+            return self.derefs[site]
         k = self.sites
         self.sites += 1
         out = f"__site{k}"
-        origin = link.origin if link.origin is not None else F.col("path")
         df = L.resolve(self.df, as_kind(link, "string"), origin, self.records, f"__t{k}")
         there = self.records.df.select(self.record_struct().alias(out), F.col("path").alias(f"__p{k}"))
         self.df = df.join(there, F.col(f"__t{k}.path") == F.col(f"__p{k}"), "left").drop(f"__t{k}", f"__p{k}")
-        return self._record(F.col(out))
+        self.derefs[site] = self._record(F.col(out))
+        return self.derefs[site]
 
     def deref_list(self, items: Val) -> Column:
         """An array of structs (value, record) aligned with a list of links."""
@@ -372,8 +377,13 @@ def path_order() -> list[Column]:
     return [F.collate(F.col("path"), "UNICODE").asc(), F.col("path").asc()]
 
 
-def execute(records: Records, query: dict, *, now: datetime | None = None, timezone_name: str = "UTC") -> Result:
-    """Plan a query; raises QueryError where the query object is at fault."""
+def execute(records: Records, query: dict, *, now: datetime | None = None, timezone_name: str = "UTC", ordered: bool = True) -> Result:
+    """Plan a query; raises QueryError where the query object is at fault.
+
+    Rows stand by ``order_by`` and then by path.  Not ``ordered``, a query without
+    order_by, offset and limit leaves its rows as they come, which spares a
+    pipeline the sort of everything.
+    """
     if bad := validate(query):
         raise QueryError(bad)
     now = now or datetime.now(timezone.utc)
@@ -417,7 +427,7 @@ def execute(records: Records, query: dict, *, now: datetime | None = None, timez
     order = [c for o in query.get("order_by", []) for c in order_columns(p.ref(o["field"], values), o.get("direction", "asc"))] + path_order()
     groups = _groups(p, query, values, order) if "group_by" in query or "summaries" in query else None
     matched = p.df
-    rows = matched.orderBy(*order)
+    rows = matched.orderBy(*order) if ordered or {"order_by", "offset", "limit"} & query.keys() else matched
     offset, limit = query.get("offset", 0), query.get("limit")
     if offset:
         rows = rows.offset(offset)

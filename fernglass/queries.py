@@ -18,7 +18,7 @@ from .operators.rules import Type, filename_issues, link_issues, unique_issues,
 from .plans.legacy_query import execute_legacy
 from .plans.query import execute
 from .plans.views import Views
-from .records import Records, from_table
+from .records import Records, from_table, once
 
 NOW = datetime(2024, 3, 15, 12, 0, tzinfo=timezone.utc)
 KEYS = {
@@ -57,7 +57,7 @@ def records(spark: SparkSession, d: str, name: str, df: DataFrame | None = None,
 
 
 def run(r: Records, **q):
-    return execute(r, q, now=NOW)
+    return execute(r, q, now=NOW, ordered=False)
 
 
 # --- filters and projections ---
@@ -313,7 +313,7 @@ def list_macros(spark, d):
 
 
 def _with_props(spark, d) -> Records:
-    df = table(spark, d, "events").withColumn("props", F.parse_json("props"))
+    df = table(spark, d, "events").withColumn("props", once(F.parse_json("props")))
     return records(spark, d, "events", df)
 
 

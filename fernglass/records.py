@@ -66,6 +66,14 @@ def from_table(df: DataFrame, path: Column, *, types=(), fields: list[str] | Non
     return Records(out, **options)
 
 
+def once(col: Column) -> Column:
+    """``col`` computed once per row, however often it is used; conditions on it stay above it.
+
+    For values that are dear to make and used again and again, such as a parsed JSON text.
+    """
+    return F.when(F.rand(0) >= 0, col)  # not deterministic as far as the optimizer knows, so it is not copied into its uses
+
+
 def file_parts(path: Column) -> dict[str, Column]:
     """name, basename, ext and folder of a path; a leading dot doesn't start an extension."""
     name = F.substring_index(path, "/", -1)
