@@ -384,6 +384,8 @@ def arithmetic(op: str, a: Val, b: Val, strict: bool) -> Val:
         return Val(NULL, F.lit(None))
     x, y, date = as_kind(a, "string"), as_kind(b, "string"), is_date(a)
     sign = 1 if op == "+" else -1
+    if op == "+" and a.kind in NUMBERS and b.kind == "string":
+        return Val(STRING, F.when(~is_date(b), F.concat(to_text(a), y)) if strict else F.lit(None).cast("string"))
     if isinstance(b.const, str) and not re.match(ISO, b.const):
         span = parse_duration(b.const)
         if span is None:
@@ -403,8 +405,6 @@ def arithmetic(op: str, a: Val, b: Val, strict: bool) -> Val:
     if b.kind in NUMBERS and a.kind == "string":
         joined = F.concat(x, to_text(b)) if strict else F.lit(None).cast("string")
         return Val(STRING, F.when(date, shifted).otherwise(joined))
-    if a.kind in NUMBERS and b.kind == "string":
-        return Val(STRING, F.when(~is_date(b), F.concat(to_text(a), y)) if strict else F.lit(None).cast("string"))
     texts = F.when(~date & ~is_date(b), F.concat(x, y))
     if "dyn" in (a.kind, b.kind):
         sum_ = as_kind(a, "double") + as_kind(b, "double")
@@ -705,7 +705,7 @@ def _string_method(v: Val, name: str, args: list[Val], scope: Scope) -> Val:
         case "isType":
             want = args[0].const
             shapes = {"string": F.lit(True), "date": s.rlike(r"^\d{4}-\d{2}-\d{2}$"), "datetime": s.rlike(r"^\d{4}-\d{2}-\d{2}T")}
-            return Val(BOOL, F.coalesce(shapes.get(want, F.lit(False)), F.lit(False)))
+            return Val(BOOL, F.when(s.isNull(), F.lit(want == "null")).otherwise(shapes.get(want, F.lit(False))))
         case "date":
             return Val(STRING, F.when(s.rlike(ISO), F.substring(s, 1, 10)))
         case "time":

@@ -83,6 +83,9 @@ def present(col: Column, t: T.DataType, ref: str) -> Column:
     """Whether the record has the key; in a table, whether the cell holds something."""
     *parents, last = ref.split(".")
     if isinstance(t, T.StructType):
+        first, *rest = ref.split(".")
+        if rest and first in t.names and isinstance(t[first].dataType, T.VariantType):  # a stored null is there
+            return F.coalesce(F.try_variant_get(col[first], "$" + "".join(f"['{p}']" for p in rest), "variant").isNotNull(), F.lit(False))
         v = path_of_field(col, t, ref)
         return F.lit(False) if v is None else v.col.isNotNull()
     path = "$" + "".join(f"['{p}']" for p in (*parents, last))
