@@ -10,6 +10,7 @@ import json
 import re
 import secrets
 import uuid
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,13 +21,16 @@ from .functions.cel import Scope, compile_expression
 from .functions.legacy import Scope as LegacyScope
 from .functions.legacy import compile_expression as compile_legacy
 from .functions.values import as_kind
+from .journal import FOLDER as JOURNALS
+from .journal import Journal, undo
 from .observability import traced
 from .operators import links as L
 from .operators import writes as W
+from .operators.coercion import coerced
 from .operators.contracts import Contract, contract_issues, contract_view
 from .operators.jsonschema import schema_issues
 from .operators.membership import with_defaults, with_types
-from .operators.rules import ISSUES, Type, link_issues, unique_issues, validate
+from .operators.rules import ISSUES, Type, filename_issues, link_issues, unique_issues, validate
 from .plans.legacy_query import LegacyResult, Names, execute_legacy
 from .plans.query import Planner, Result, execute
 from .plans.views import Views
@@ -47,6 +51,11 @@ class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.root, self._jvm = root.rstrip("/"), spark._jvm
         self._fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), spark._jsc.hadoopConfiguration())
+        rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        self._over = spark.sparkContext._gateway.new_array(rename, 1)
+        self._over[0] = rename.OVERWRITE
+        self.journal: Journal | None = None
 
     def path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -62,19 +71,39 @@ class Files:
             stream.close()
 
     def write(self, name: str, data: bytes) -> None:
-        """A hidden sibling first, then a rename over the target."""
+        if self.journal is not None:
+            self.journal.before(name)
+        self.put(name, data)
+
+    def put(self, name: str, data: bytes) -> None:
+        """A hidden sibling first, then one rename over the target: a reader finds the old file or the new one."""
         folder, _, base = name.rpartition("/")
         temp = f"{folder}/.{base}.{uuid.uuid4().hex}.tmp".lstrip("/")
         stream = self._fs.create(self.path(temp), True)
         stream.write(bytearray(data))
         stream.close()
-        if self._fs.exists(self.path(name)):
-            self._fs.delete(self.path(name), False)
-        if not self._fs.rename(self.path(temp), self.path(name)):
-            raise CollectionError("write_failed", f"{name} could not be written")
+        try:
+            self._context.rename(self._qualified(temp), self._qualified(name), self._over)
+        except Exception as e:
+            self._fs.delete(self.path(temp), False)
+            raise CollectionError("write_failed", f"{name} could not be written") from e
+
+    def _qualified(self, name: str):
+        return self._context.makeQualified(self.path(name))
 
     def delete(self, name: str) -> None:
-        self._fs.delete(self.path(name), False)
+        if self.journal is not None:
+            self.journal.before(name)
+        self.drop(name)
+
+    def drop(self, name: str) -> None:
+        """A file, or a folder with all in it."""
+        self._fs.delete(self.path(name), True)
+
+    def folders(self, name: str) -> list[str]:
+        if not self.exists(name):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self.path(name)) if s.isDirectory())
 
     def names(self, folder: str = "") -> list[str]:
         """Plain files right in a folder."""
@@ -112,6 +141,8 @@ class Collection:
         types = [parse_type(files.read(f"{config.types_folder}/{n}").decode(), n) for n in files.names(config.types_folder) if n.endswith(".md")]
         by_name = inherit({t.name: t for t in types})
         contracts = [parse_contract(files.read(f"{config.contracts_folder}/{n}").decode()) for n in files.names(config.contracts_folder)]
+        for name in files.folders(JOURNALS):  # a batch that wasn't finished
+            undo(files, f"{JOURNALS}/{name}")
         return cls(spark, root, config, config_name, by_name, {c.name: with_implementations(c, by_name) for c in contracts if c})
 
     # --- reading ---
@@ -144,11 +175,12 @@ class Collection:
         return with_types(self.records(types=False), [t.rule for t in self.types.values()], self.config.explicit_type_keys)
 
     def _completed(self, r: Records, t: Definition) -> Records:
-        """Defaults and computed fields of one type, in its own records."""
+        """Defaults, declared types and computed fields of one type, in its own records."""
         own = F.array_contains("types", t.name)
         if t.rule.read_defaults:
             filled = with_defaults(r.with_df(r.df.withColumn("__old", F.col("fields"))), t.rule.read_defaults).df
             r = r.with_df(filled.withColumn("fields", F.when(own, F.col("fields")).otherwise(F.col("__old"))).drop("__old"))
+        r = coerced(r, t.fields, own)
         if t.rule.computed:
             p = Planner(r, datetime.now(timezone.utc), "UTC")
             p.df = r.df
@@ -211,7 +243,7 @@ class Collection:
 
     @traced
     def validate(self, scope: str = "collection") -> DataFrame:
-        """The issue table.  ``scope='records'`` adds the checks of single records: links, contracts."""
+        """The issue table.  ``scope='records'`` adds the checks of single records: file names, links, contracts."""
         r = raw = self.records(defaults=False)
         own = [Type(t.name, t.fields, t.strict or self.config.strict) for t in self.types.values()]
         parts = [validate(r, own)]
@@ -221,6 +253,9 @@ class Collection:
             for u in map(dict, t.unique):
                 types = None if u.get("scope") == "all" else [t.name]
                 parts.append(unique_issues(r, u["field"], types=types, path_glob=u.get("path_glob") if u.get("scope") == "path_glob" else None))
+            if t.path_pattern and scope == "records":
+                named = t.path_pattern.rsplit("/", 1)[-1].removesuffix(".md")
+                parts.append(filename_issues(r.with_df(r.df.where(F.array_contains("types", t.name))), named))
             if scope == "records":
                 for name, rule in t.links.items():
                     if rule.get("validate_exists"):
@@ -442,12 +477,12 @@ class Collection:
         paths = [x["path"] for x in r.df.where(W.condition(r, where)).select("path").orderBy("path").collect()]
         ready = []
         for p in paths:
-            stored, body, data = self._stored(p)
+            stored, body, _ = self._stored(p)
             new = {**stored, **fields}
             self._refuse(p, new, self._types_of(new))
-            ready.append((p, new, body, data))
+            ready.append((p, new, body))
         if not dry_run:
-            self._all_or_nothing([(p, lambda p=p, n=new, b=body: self._write(p, n, b), data) for p, new, body, data in ready])
+            self._all_or_nothing([lambda p=p, n=new, b=body: self._write(p, n, b) for p, new, body in ready])
         return paths
 
     @traced
@@ -455,24 +490,89 @@ class Collection:
         r = self.records()
         paths = [x["path"] for x in r.df.where(W.condition(r, where)).select("path").orderBy("path").collect()]
         if not dry_run:
-            self._all_or_nothing([(p, lambda p=p: self.files.delete(p), self.files.read(p)) for p in paths])
+            self._all_or_nothing([lambda p=p: self.files.delete(p) for p in paths])
         return paths
 
     def _all_or_nothing(self, steps: list) -> None:
-        """Runs steps (path, action, former bytes); a failing one puts back what those before it changed."""
-        done = []
+        """Runs actions; a failing one takes back what those before it changed, and so does the next ``open`` if this process ends first."""
         self.refresh()
-        try:
-            for path, act, data in steps:
+        with self._journalled():
+            for act in steps:
                 act()
-                done.append((path, data))
-        except Exception:
-            for path, data in reversed(done):
-                if data is None:  # it wasn't there before
-                    self.files.delete(path)
-                else:
-                    self.files.write(path, data)
-            raise
+
+    @contextmanager
+    def _journalled(self, keep: bool = True):
+        """Writes within are taken back on an error, or at the end if they aren't to be kept."""
+        if self.files.journal is not None:  # within another batch
+            yield
+            return
+        journal = self.files.journal = Journal(self.files)
+        done = False
+        try:
+            yield
+            done = keep
+        finally:
+            self.files.journal = None
+            if done:
+                journal.close()
+            elif journal.seen:
+                undo(self.files, journal.name)
+            self.refresh()
+
+    OPERATIONS = ("create", "update", "delete", "rename")
+
+    @traced
+    def batch(self, operations: list[dict], *, dry_run: bool = False, allow_partial: bool = False) -> list[dict]:
+        """Runs operations in order; each has ``op`` (create, update, delete, rename) and that method's arguments.
+
+        Gives one result per operation: ``ok``, and ``value`` or ``code`` and ``message``.  The first failure
+        takes back all, unless ``allow_partial``, which leaves out what fails and what comes to
+        a path that a failed operation was about.  ``dry_run`` runs them all and takes everything back.
+        """
+        for o in operations:
+            if o.get("op") not in self.OPERATIONS:
+                raise CollectionError("unknown_operation", f"{o.get('op')!r} is no operation")
+        results, failed = [], set()
+
+        def about(o: dict) -> set:
+            return {o[k] for k in ("path", "old", "new") if isinstance(o.get(k), str)}
+
+        with self._journalled(keep=not dry_run):
+            for o in operations:
+                if about(o) & failed:
+                    results.append({"ok": False, "code": "batch_failed", "message": "depends on an operation that failed"})
+                    failed |= about(o)
+                    continue
+                try:
+                    with self._undone_alone():
+                        results.append({"ok": True, "value": getattr(self, o["op"])(**{k: v for k, v in o.items() if k != "op"})})
+                except CollectionError as e:
+                    if not allow_partial:
+                        raise CollectionError("batch_failed", f"{o['op']}: {e}", {"code": e.code, "operation": o}) from e
+                    failed |= about(o)
+                    results.append({"ok": False, "code": e.code, "message": str(e)})
+        return results
+
+    @contextmanager
+    def _undone_alone(self):
+        """One operation of a batch: what it wrote before it failed is taken back, the batch's journal stays."""
+        outer, self.files.journal = self.files.journal, Journal(self.files)
+        inner, good = self.files.journal, False
+        try:
+            yield
+            good = True
+        finally:
+            self.files.journal = outer
+            if good:
+                outer.adopt(inner)
+            elif inner.seen:
+                undo(self.files, inner.name)
+                self.refresh()
+
+    @traced
+    def update_many(self, updates: list[dict], *, dry_run: bool = False, allow_partial: bool = False) -> list[dict]:
+        """``batch`` of updates: each a path with fields, unset, body or if_revision."""
+        return self.batch([{"op": "update", **u} for u in updates], dry_run=dry_run, allow_partial=allow_partial)
 
     @traced
     def create_type(self, name: str, definition: dict) -> None:

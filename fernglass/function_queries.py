@@ -222,3 +222,78 @@ def file_embeds(spark, d):
     body = F.concat(F.lit("See [[n"), "doc_id", F.lit("]] and ![[pic.png]]"), F.when(F.col("doc_id") % 2 == 0, " ![[two|t]]").otherwise(""), F.lit(" #a"), F.col("doc_id") % 7, F.lit(" `#code [[no]]` #b/"), "lang", F.lit(" x#no\n"))
     got = L.with_links(records(spark, d, "documents", fields=["doc_id"], body=body, parse_body=True))
     return got.select("fields.doc_id", F.size("file_embeds").cast("long").alias("embeds"), F.size("file_links").cast("long").alias("links"), F.array_join(F.array_sort("file_tags"), ",").alias("tags"))
+
+
+@query("""SELECT p_partkey, CAST(p_size AS BIGINT) AS doubled, p_retailprice + 0.25 AS price, p_size > 25 AS flag, CAST(p_size AS VARCHAR) AS code, p_size % 10 = 0 AS odd_one,
+row_number() OVER (ORDER BY p_size, p_partkey) AS place FROM part""")
+def read_coercion(spark, d):
+    """Texts, numbers and words of the stored records, read as their declared types: they add, compare and order as such."""
+    from .operators.coercion import coerced
+    from .queries import ranked
+
+    df = table(spark, d, "part").select(
+        "p_partkey", F.concat(F.lit(" "), F.col("p_size").cast("string")).alias("size"), F.col("p_retailprice").cast("string").alias("price"),
+        F.when(F.col("p_size") > 25, F.when(F.col("p_partkey") % 2 == 0, "Yes").otherwise("on")).otherwise("FALSE").alias("flag"), F.col("p_size").alias("code"),
+        F.when(F.col("p_size") % 10 == 0, "many").otherwise("1e1").alias("odd"),
+    )
+    r = from_table(df, F.concat(F.lit("part/"), "p_partkey"))
+    r = coerced(r, {"size": {"type": "integer"}, "price": {"type": "number"}, "flag": {"type": "boolean"}, "code": {"type": "string"}, "odd": {"type": "integer"}})
+    s = {"doubled": "int(size)", "price": "double(price) + 0.25", "flag": "flag == true", "code": "string(code)", "odd_one": 'odd == "many" && odd != 10'}
+    q = run(r, select=["p_partkey", *[{"name": n, "expr": e} for n, e in s.items()]], order_by=[{"field": "size"}, {"field": "p_partkey"}])
+    return ranked(q.values)
+
+
+@query("""SELECT o_orderstatus AS key, o_orderkey, dense_rank() OVER (ORDER BY o_orderstatus DESC) AS group_place, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS place FROM orders""")
+def legacy_group_rows(spark, d):
+    from pyspark.sql import Window
+
+    q = execute_legacy(records(spark, d, "orders"), {"group_by": {"property": "o_orderstatus", "direction": "DESC"}, "order_by": [{"field": "o_totalprice"}, {"field": "o_orderkey"}]})
+    rows = q.group_rows.withColumn("__i", F.monotonically_increasing_id())
+    first = F.min("__i").over(Window.partitionBy("key"))
+    rows = rows.withColumn("__first", first).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("__i")).cast("long"))
+    return rows.select("key", "frontmatter.o_orderkey", F.dense_rank().over(Window.orderBy("__first")).cast("long").alias("group_place"), "place")
+
+
+@query("""SELECT path, code, field FROM (SELECT 'part/' || p_partkey AS path, unnest(list_filter([
+  CASE WHEN p_size < 5 THEN {'code': 'number_too_small', 'field': 'p_size'} END, CASE WHEN p_size > 45 THEN {'code': 'number_too_large', 'field': 'p_size'} END,
+  CASE WHEN length(p_name) < 9 THEN {'code': 'string_too_short', 'field': 'p_name'} END, CASE WHEN length(p_name) > 11 THEN {'code': 'string_too_long', 'field': 'p_name'} END,
+  CASE WHEN NOT regexp_matches(p_brand, '^Brand#[1-5]$') THEN {'code': 'pattern_mismatch', 'field': 'p_brand'} END,
+  CASE WHEN p_type NOT IN ('ECONOMY', 'STANDARD') THEN {'code': 'invalid_enum', 'field': 'p_type'} END,
+  CASE WHEN p_size % 6 = 0 THEN {'code': 'invalid_date', 'field': 'day'} END], lambda x: x IS NOT NULL), recursive := true) FROM part)""")
+def field_checks(spark, d):
+    """The kinds of checks that a declared field can have, on one table."""
+    from .operators.rules import Type, validate
+
+    df = table(spark, d, "part").drop("p_retailprice").withColumn("day", F.when(F.col("p_size") % 6 == 0, "someday").otherwise("2024-02-29"))
+    t = Type("part", {"p_partkey": {"type": "integer"}, "p_size": {"type": "integer", "min": 5, "max": 45}, "p_name": {"type": "string", "min_length": 9, "max_length": 11},
+                      "p_brand": {"type": "string", "pattern": "^Brand#[1-5]$"}, "p_type": {"type": "enum", "values": ["ECONOMY", "STANDARD"]}, "day": {"type": "date"}})
+    return validate(records(spark, d, "part", df), [t]).select("path", "code", "field")
+
+
+@query("""SELECT 'part/' || p_partkey AS path, 'unknown_field' AS code, 'p_size' AS field FROM part UNION ALL SELECT 'part/' || p_partkey, 'deprecated_field', 'p_type' FROM part""")
+def field_names_checked(spark, d):
+    """Fields that no type declares, and ones that are given up."""
+    from .operators.rules import Type, validate
+
+    df = table(spark, d, "part").drop("p_retailprice")
+    t = Type("part", {"p_partkey": {"type": "integer"}, "p_name": {"type": "string"}, "p_brand": {"type": "string"}, "p_type": {"type": "string", "deprecated": True}}, strict=True)
+    return validate(records(spark, d, "part", df), [t]).select("path", "code", "field")
+
+
+@query("""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE list_contains(tags, 'A') AND list_contains(tags, '3') OR list_contains(tags, 'x4')
+""".replace("FROM lineitem", "FROM (SELECT *, [l_returnflag, CAST(l_linenumber AS VARCHAR), 'x' || l_suppkey % 9] AS tags FROM lineitem)"))
+def where_structured_lists(spark, d):
+    df = table(spark, d, "lineitem").withColumn("tags", F.array("l_returnflag", F.col("l_linenumber").cast("string"), F.concat(F.lit("x"), F.col("l_suppkey") % 9)))
+    q = execute_legacy(records(spark, d, "lineitem", df), {"where": {"or": [{"tags": {"containsAll": ["A", "3"]}}, {"tags": {"containsAny": ["x4", "nothing"]}}]}})
+    return q.rows.select("frontmatter.l_orderkey", F.col("frontmatter.l_linenumber").cast("long").alias("l_linenumber"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY n_name COLLATE NOCASE, n_nationkey) AS place, n_nationkey FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'Z' || chr(CAST(97 + n_nationkey AS INTEGER)) ELSE 'a' || chr(CAST(97 + n_nationkey AS INTEGER)) END AS n_name FROM nation)""")
+def default_order(spark, d):
+    """Without order_by rows stand by path, in Unicode order."""
+    from .plans.query import execute
+    from .queries import ranked
+
+    df = table(spark, d, "nation").withColumn("p", F.concat(F.when(F.col("n_nationkey") % 2 == 0, "Z").otherwise("a"), F.expr("char(97 + n_nationkey)")))
+    r = from_table(df, F.col("p"), fields=["n_nationkey"])
+    return ranked(execute(r, {"select": ["n_nationkey"]}).values)

@@ -29,6 +29,8 @@ class LegacyResult:
     offset: int
     limit: int | None
     formulas: list[str] = field(default_factory=list)
+    #: all matching rows with their group's ``key``, groups and rows in order
+    group_rows: DataFrame | None = None
 
     def meta(self) -> DataFrame:
         total = F.count(F.lit(1))
@@ -129,14 +131,16 @@ def execute_legacy(records: Records, query: dict, *, enums: dict[str, list[str]]
     keys += [F.transform(F.split("path", "/"), lambda s: F.collate(s, "UNICODE")).asc(), F.col("path").asc()]
     matched = p.df
     shown = _summaries(matched, query, names, scope)
-    groups = None
+    groups = group_rows = None
     if by := query.get("group_by"):
         v = names(by["property"]) or Val(NULL, F.lit(None).cast("string"))
         desc = by.get("direction", "ASC").upper() == "DESC"
         key = group_key(v)
         grouped = matched.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n_rows"), *shown)
         as_text = legacy.to_text(Val(v.shape, F.col("key"))) if v.kind != "dyn" else F.col("key")
-        groups = grouped.orderBy(as_text.desc_nulls_first() if desc else as_text.asc_nulls_last())
+        first = as_text.desc_nulls_first() if desc else as_text.asc_nulls_last()
+        groups = grouped.orderBy(first)
+        group_rows = matched.withColumn("key", key).orderBy(first, *keys)
     rows = matched.orderBy(*keys)
     offset, limit = query.get("offset", 0), query.get("limit")
     if offset:
@@ -144,8 +148,10 @@ def execute_legacy(records: Records, query: dict, *, enums: dict[str, list[str]]
     if limit is not None:
         rows = rows.limit(limit)
     body = [F.col("body") if query.get("include_body") else F.lit(None).cast("string").alias("body")]
-    rows = rows.select("path", "types", F.col("fields").alias("frontmatter"), *body, *[F.col(f"`__formula_{n}`").alias(n) for n in values])
-    return LegacyResult(rows, matched, groups, matched.agg(*shown) if shown else None, offset, limit, list(values))
+    shape = ["path", "types", F.col("fields").alias("frontmatter"), *body, *[F.col(f"`__formula_{n}`").alias(n) for n in values]]
+    if group_rows is not None:
+        group_rows = group_rows.select("key", *shape)
+    return LegacyResult(rows.select(*shape), matched, groups, matched.agg(*shown) if shown else None, offset, limit, list(values), group_rows)
 
 
 def _order(ref: str, desc: bool, names: Names, values: dict[str, Val], enum: list[str] | None) -> list[Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.globs import glob_regex
@@ -157,20 +157,26 @@ def order_topk(spark, d):
     return run(records(spark, d, "orders"), select=["o_orderkey", "o_totalprice"], order_by=[{"field": "o_totalprice", "direction": "desc"}, {"field": "o_orderkey"}], offset=20, limit=50).values
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN o_totalprice END AS big FROM orders ORDER BY big DESC NULLS FIRST, o_orderkey LIMIT 40""")
+def ranked(df: DataFrame) -> DataFrame:
+    """Rows with their place in the order they come in."""
+    numbered = df.withColumn("__i", F.monotonically_increasing_id())
+    return numbered.withColumn("place", F.row_number().over(Window.orderBy("__i")).cast("long")).drop("__i")
+
+
+@query("""SELECT row_number() OVER (ORDER BY big DESC NULLS FIRST, o_orderkey) AS place, * FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN o_totalprice END AS big FROM orders)""")
 def order_nulls(spark, d):
     q = run(records(spark, d, "orders"), select=["o_orderkey", {"name": "big", "expr": "o_totalprice > 150000.0 ? o_totalprice : null"}],
-            order_by=[{"field": "big", "direction": "desc"}, {"field": "o_orderkey"}], limit=40)
-    return q.values
+            order_by=[{"field": "big", "direction": "desc"}, {"field": "o_orderkey"}])
+    return ranked(q.values)
 
 
 PRIORITIES = ["5-LOW", "4-NOT SPECIFIED", "1-URGENT", "2-HIGH", "3-MEDIUM"]
 
 
-@query("""SELECT o_orderkey, o_orderpriority FROM orders ORDER BY list_position(['5-LOW', '4-NOT SPECIFIED', '1-URGENT', '2-HIGH', '3-MEDIUM'], o_orderpriority), o_orderkey LIMIT 60""")
+@query("""SELECT row_number() OVER (ORDER BY list_position(['5-LOW', '4-NOT SPECIFIED', '1-URGENT', '2-HIGH', '3-MEDIUM'], o_orderpriority), o_orderkey) AS place, o_orderkey, o_orderpriority FROM orders""")
 def order_enum(spark, d):
-    q = execute_legacy(records(spark, d, "orders"), {"order_by": [{"field": "o_orderpriority"}, {"field": "o_orderkey"}], "limit": 60}, enums={"o_orderpriority": PRIORITIES})
-    return q.rows.select("frontmatter.o_orderkey", "frontmatter.o_orderpriority")
+    q = execute_legacy(records(spark, d, "orders"), {"order_by": [{"field": "o_orderpriority"}, {"field": "o_orderkey"}]}, enums={"o_orderpriority": PRIORITIES})
+    return ranked(q.rows.select("frontmatter.o_orderkey", "frontmatter.o_orderpriority"))
 
 
 @query("SELECT count(*) AS total_count, count(*) > 30 AS has_more FROM orders WHERE o_totalprice > 100000")
@@ -178,9 +184,9 @@ def paging_meta(spark, d):
     return run(records(spark, d, "orders"), where="o_totalprice > 100000.0", offset=10, limit=20).meta()
 
 
-@query("""SELECT c_name, c_mktsegment FROM customer ORDER BY c_mktsegment DESC, c_name LIMIT 100""")
+@query("""SELECT row_number() OVER (ORDER BY c_mktsegment DESC, c_name) AS place, c_name, c_mktsegment FROM customer""")
 def order_text(spark, d):
-    return run(records(spark, d, "customer"), select=["c_name", "c_mktsegment"], order_by=[{"field": "c_mktsegment", "direction": "desc"}, {"field": "c_name"}], limit=100).values
+    return ranked(run(records(spark, d, "customer"), select=["c_name", "c_mktsegment"], order_by=[{"field": "c_mktsegment", "direction": "desc"}, {"field": "c_name"}]).values)
 
 
 # --- groups and summaries ---
@@ -246,12 +252,11 @@ def legacy_summaries(spark, d):
     return g.withColumn("mean", F.round("mean", 6))
 
 
-@query("""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity * (1 - l_discount) AS weighted FROM lineitem WHERE l_quantity * (1 - l_discount) >= 8 AND l_linestatus <> 'F'
-ORDER BY weighted DESC, l_orderkey, l_linenumber LIMIT 80""")
+@query("""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, charge FROM (SELECT *, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem)
+WHERE charge / l_quantity < 1200 AND l_returnflag <> 'R'""")
 def legacy_formulas(spark, d):
-    q = {"formulas": {"weighted": "l_quantity * (1 - l_discount)", "is_open": 'l_linestatus != "F"'}, "where": "formula.weighted >= 8 && formula.is_open",
-         "order_by": [{"field": "formula.weighted", "direction": "desc"}, {"field": "l_orderkey"}, {"field": "l_linenumber"}], "limit": 80}
-    return execute_legacy(records(spark, d, "lineitem"), q).rows.select("frontmatter.l_orderkey", F.col("frontmatter.l_linenumber").cast("long").alias("l_linenumber"), "weighted")
+    q = {"formulas": {"unit": "formula.charge / l_quantity", "charge": "l_extendedprice * (1 - l_discount) * (1 + l_tax)", "returned": 'l_returnflag == "R"'}, "where": "formula.unit < 1200 && !formula.returned"}
+    return execute_legacy(records(spark, d, "lineitem"), q).rows.select("frontmatter.l_orderkey", F.col("frontmatter.l_linenumber").cast("long").alias("l_linenumber"), "charge")
 
 
 @query("""SELECT p_partkey, upper(left(p_name, 3)) AS a, CAST(strlen(p_name) AS DOUBLE) AS n, replace(p_type, 'A', 'a') AS r, CAST(instr(p_name, 'a') - 1 AS DOUBLE) AS i,
@@ -506,9 +511,9 @@ VIEWS = Views({"views/orders": {
 }})
 
 
-@query("SELECT o_orderkey, o_totalprice * 0.2 AS vat FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 200")
+@query("SELECT o_orderkey, o_totalprice * 0.2 AS vat FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O'")
 def view_exec(spark, d):
-    return VIEWS.execute(records(spark, d, "orders"), "order-views", "open", limit=200).values
+    return VIEWS.execute(records(spark, d, "orders"), "order-views", "open").values
 
 
 # --- snapshots and writes ---
@@ -541,8 +546,9 @@ def backfill(spark, d):
     return r.df.select("path", "fields.seq", "fields.role2")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey > 0 THEN lower(replace(replace(c_name, '#', '-'), ' ', '-')) END AS slug, CASE WHEN c_custkey > 0 THEN '2024-03-15' END AS seen, c_name AS shown FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey > 0 THEN lower(replace(c_name, '#', '-')) || '-of-segment-' || lower(c_mktsegment) END AS slug, CASE WHEN c_custkey > 0 THEN '2024-03-15' END AS seen, c_name AS shown FROM customer")
 def lifecycle(spark, d):
-    r = records(spark, d, "customer", fields=["c_custkey", "c_name"])
-    r = W.lifecycle(r, [{"if": "c_custkey > 0", "set": {"slug": {"slugify": "c_name"}, "seen": {"today": True}}}, {"set": {"shown": {"copy": "c_name"}}}], NOW)
-    return r.df.select("fields.c_custkey", "fields.slug", "fields.seen", "fields.shown").withColumn("slug", F.regexp_replace("slug", "-+", "-"))
+    df = table(spark, d, "customer").withColumn("label", F.concat("c_name", F.lit("  Of Segment_"), "c_mktsegment", F.lit(" ")))
+    r = records(spark, d, "customer", df, fields=["c_custkey", "c_name", "label"])
+    r = W.lifecycle(r, [{"if": "c_custkey > 0", "set": {"slug": {"slugify": "label"}, "seen": {"today": True}}}, {"set": {"shown": {"copy": "c_name"}}}], NOW)
+    return r.df.select("fields.c_custkey", "fields.slug", "fields.seen", "fields.shown")

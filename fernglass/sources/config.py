@@ -64,7 +64,7 @@ def parse_config(text: str) -> Config:
         raise ConfigError("invalid_config", "spec_version must be a version text")
     settings = raw.get("settings") or {}
     if not isinstance(settings, dict):
-        raise ConfigError("invalid_config", "settings must be a mapping")
+        raise ConfigError("invalid_config", "settings takes names and values")
     warnings = [f"unknown settings key: {k}" for k in settings if k not in SETTINGS]
     for k, kind in SETTINGS.items():
         if k in settings and (not isinstance(settings[k], kind) or kind is not bool and isinstance(settings[k], bool) and bool not in (kind if isinstance(kind, tuple) else (kind,))):

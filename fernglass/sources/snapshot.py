@@ -36,13 +36,28 @@ class SnapshotStore:
         df = self.spark.read.parquet(f"{self.folder}/v{version if version is not None else self.version()}")
         return Records(df, **options)
 
-    def commit(self, records: Records | DataFrame, based_on: int | None = None) -> int:
-        """Stores the next version; with ``based_on`` only if that is still the present one."""
+    def label(self, version: int | None = None) -> str | None:
+        """What a version was stored under."""
+        at = self._path(f"{self.folder}/v{version if version is not None else self.version()}/_label")
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
+        try:
+            return stream.readUTF()
+        finally:
+            stream.close()
+
+    def commit(self, records: Records | DataFrame, based_on: int | None = None, label: str | None = None) -> int:
+        """Stores the next version; with ``based_on`` only if that is still the present one.  ``label`` becomes present with it."""
         df = records.df if isinstance(records, Records) else records
         now = self.version()
         if based_on is not None and based_on != now:
             raise Conflict(f"version {based_on} is no longer present, {now} is")
-        df.select(*META).write.parquet(f"{self.folder}/v{now + 1}")
+        df.select(*META).write.mode("overwrite").parquet(f"{self.folder}/v{now + 1}")  # over what a failed write may have left
+        if label is not None:
+            stream = self._fs.create(self._path(f"{self.folder}/v{now + 1}/_label"), True)
+            stream.writeUTF(label)
+            stream.close()
         self._fs.mkdirs(self._path(f"{self.folder}/present"))
         if not self._fs.createNewFile(self._path(f"{self.folder}/present/{now + 1}")):
             raise Conflict(f"version {now + 1} was stored by another writer")

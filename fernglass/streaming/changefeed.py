@@ -3,9 +3,10 @@
 ``follow`` keeps a snapshot store up to date from a stream of record versions
 (micro-batches of rows of the record schema, with ``deleted`` marking removals)
 and hands each batch's changes to a callback.  The state is the store itself:
-each batch joins it once, the store's version is the checkpoint of what has
-been applied, and a batch that is run again after a failure finds its version
-stored already and does nothing.
+each batch joins it once, and a version is labelled with the stream's
+checkpoint and batch.  A batch that is run again after a failure or a restart
+finds its version stored and only tells its changes again; one before that
+does nothing.
 """
 
 from __future__ import annotations
@@ -29,16 +30,26 @@ def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def follow(stream: DataFrame, store: SnapshotStore, on_changes: Callable[[DataFrame, int], None], checkpoint: str):
-    """A started streaming query; ``on_changes(changes, batch_id)`` runs once per batch."""
-    first = store.version()
+    """A started streaming query; ``on_changes(changes, batch_id)`` runs for every batch, at least once."""
+
+    def applied() -> tuple[int, int]:
+        """(version, batch) of this stream's latest batch in the store."""
+        for version in range(store.version(), 0, -1):
+            of, _, batch = (store.label(version) or "").rpartition("#")
+            if of == checkpoint and batch.isdigit():
+                return version, int(batch)
+        return 0, -1
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        present = store.version()
-        if present > first + batch_id:
-            return  # this batch was stored before a restart
-        old = store.read() if present else None
-        base = old.df if old is not None else batch.sparkSession.createDataFrame([], batch.select(*META).schema)
-        store.commit(merged(base, batch), based_on=present)
-        on_changes(snapshot_diff(Records(base), store.read()), batch_id)
+        version, last = applied()
+        if last > batch_id:
+            return
+        if last < batch_id:
+            present = store.version()
+            base = store.read().df if present else batch.sparkSession.createDataFrame([], batch.select(*META).schema)
+            version = store.commit(merged(base, batch), based_on=present, label=f"{checkpoint}#{batch_id}")
+        new = store.read(version)
+        old = store.read(version - 1) if version > 1 else Records(new.df.limit(0))
+        on_changes(snapshot_diff(old, new), batch_id)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()

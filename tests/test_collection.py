@@ -171,3 +171,83 @@ def test_observability():
     finally:
         observability.listen(None)
     assert [(e.operation, e.failed, e.error) for e in seen] == [("outer", False, None), ("outer", True, "broken")]
+
+
+def test_stored_texts_are_read_as_declared(spark, tmp_path):
+    files = {
+        "collection.yaml": 'spec_version: "0.2.0"\n',
+        "_types/item.md": "---\nname: item\nmatch: {path_glob: 'items/*.md'}\nfields:\n  count: {type: integer}\n  rate: {type: number}\n  on: {type: boolean}\n  label: {type: string}\n  twice: {type: number, computed: 'count * 2'}\n---\n",
+        "items/a.md": "---\ncount: '12'\nrate: '2.5'\n'on': 'Yes'\nlabel: 7\n---\n", "items/b.md": "---\ncount: 3.0\nrate: fast\n'on': maybe\nlabel: true\n---\n", "other.md": "---\ncount: '5'\n---\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    c = Collection.open(spark, str(tmp_path))
+    a, b = c.read("items/a.md"), c.read("items/b.md")
+    assert a["frontmatter"] == {"count": 12, "rate": 2.5, "on": True, "label": "7", "twice": 24} and a["raw"]["count"] == "12"
+    assert b["frontmatter"] == {"count": 3, "rate": "fast", "on": "maybe", "label": "true", "twice": 6}
+    assert c.read("other.md")["frontmatter"] == {"count": "5"}
+    assert [r["path"] for r in c.query({"types": ["item"], "where": "count > 4"}).rows.collect()] == ["items/a.md"]
+
+
+def held(c, *paths):
+    return {p: c.files.read(p) if c.files.exists(p) else None for p in paths}
+
+
+def test_batches_of_operations(c):
+    paths = ("tasks/one.md", "tasks/two.md", "tasks/new.md", "alpha.md", "beta.md")
+    before = held(c, *paths)
+    steps = [
+        {"op": "create", "path": "tasks/new.md", "fields": {"title": "new", "points": 1}, "type": "task"},
+        {"op": "update", "path": "tasks/new.md", "fields": {"points": 2}},
+        {"op": "rename", "old": "alpha.md", "new": "beta.md"},
+        {"op": "delete", "path": "tasks/two.md"},
+    ]
+    got = c.batch(steps, dry_run=True)
+    assert all(x["ok"] for x in got) and held(c, *paths) == before
+    bad = [*steps[:3], {"op": "update", "path": "tasks/one.md", "fields": {"points": -4}}, steps[3]]
+    with pytest.raises(CollectionError) as e:
+        c.batch(bad)
+    assert e.value.code == "batch_failed" and e.value.details["code"] == "validation_failed" and held(c, *paths) == before
+    got = c.batch([{"op": "update", "path": "gone.md", "fields": {"x": 1}}, {"op": "create", "path": "gone.md", "fields": {}}, *bad], allow_partial=True)
+    assert [x["ok"] for x in got] == [False, False, True, True, True, False, True] and [x.get("code") for x in got[:2]] == ["file_not_found", "batch_failed"]
+    assert c.read("tasks/new.md")["frontmatter"]["points"] == 2 and not c.files.exists("tasks/two.md") and not c.files.exists("alpha.md")
+    assert "beta" in c.read("tasks/one.md")["raw"]["project"]
+    with pytest.raises(CollectionError) as e:
+        c.batch([{"op": "dance"}])
+    assert e.value.code == "unknown_operation"
+    done = c.update_many([{"path": "tasks/one.md", "fields": {"points": 9}}, {"path": "tasks/new.md", "fields": {"points": -1}}], allow_partial=True)
+    assert [x["ok"] for x in done] == [True, False] and c.read("tasks/one.md")["frontmatter"]["points"] == 9
+    assert c.files.folders(".journal") == []
+
+
+def test_an_unfinished_batch_is_taken_back_on_opening(c, spark):
+    before = held(c, "tasks/one.md", "tasks/late.md")
+    from fernglass.journal import Journal
+
+    c.files.journal = Journal(c.files)  # and then the process ends
+    c.files.write("tasks/one.md", b"half")
+    c.files.write("tasks/late.md", b"made")
+    c.files.delete("alpha.md")
+    again = Collection.open(spark, c.root)
+    assert held(again, "tasks/one.md", "tasks/late.md") == before and again.files.exists("alpha.md") and again.files.folders(".journal") == []
+
+
+def test_file_names_are_checked(c):
+    c.files.write("tasks/odd.md", b"---\ntype: task\ntitle: Even\npoints: 1\n---\n")
+    c.refresh()
+    found = [(r["path"], r["severity"]) for r in c.validate("records").where("code = 'filename_mismatch'").collect()]
+    assert ("tasks/odd.md", "warning") in found and c.validate().where("code = 'filename_mismatch'").isEmpty()
+
+
+def test_every_code_is_in_the_catalogue():
+    import re
+    from pathlib import Path
+
+    import fernglass
+    from fernglass import errors
+
+    used = set()
+    for f in Path(fernglass.__file__).parent.rglob("*.py"):
+        used |= set(re.findall(r'(?:CollectionError|ConfigError|ExpressionError|MigrationError)\((?:f?"[^"]*", )?"([a-z]+(?:_[a-z]+)+)"', f.read_text()))
+    assert used - errors.ALL == set() and errors.about("path_conflict") == "files" and errors.about("own_code") is None

@@ -113,3 +113,39 @@ def test_change_feed(spark, tmp_path):
     assert seen == [(0, [("file_created", "a.md"), ("file_created", "b.md")]), (1, [("file_created", "c.md"), ("file_deleted", "b.md"), ("file_modified", "a.md")])]
     assert sorted(x["path"] for x in store.read().df.collect()) == ["a.md", "c.md"]
     assert set(META) <= set(Records(store.read().df).df.columns)
+
+
+def test_change_feed_goes_on_after_a_restart(spark, tmp_path):
+    """Stopped and started again the feed applies nothing twice; a batch stored but not told is told again."""
+    from pyspark.sql import functions as F
+
+    from fernglass.records import META
+
+    base = collection(spark, tmp_path / "c", {"a.md": "---\nx: 1\n---\n", "b.md": "---\nx: 2\n---\n", "d.md": "---\nx: 4\n---\n"}).df.select(*META)
+    rows = base.withColumn("fields", F.to_json("fields")).withColumn("raw", F.to_json("raw")).withColumn("deleted", F.lit(False))
+    feed, seen = tmp_path / "feed", []
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+
+    def start(on=lambda c, i: seen.append((i, sorted((x["event"], x["path"]) for x in c.collect())))):
+        stream = spark.readStream.schema(rows.schema).parquet(str(feed)).withColumn("fields", F.parse_json("fields")).withColumn("raw", F.parse_json("raw"))
+        q = follow(stream, store, on, str(tmp_path / "cp"))
+        q.processAllAvailable()
+        q.stop()
+
+    rows.where("path = 'a.md'").write.mode("append").parquet(str(feed))
+    start()
+    rows.where("path = 'b.md'").write.mode("append").parquet(str(feed))
+    start()
+    assert seen == [(0, [("file_created", "a.md")]), (1, [("file_created", "b.md")])] and store.version() == 2
+    rows.where("path = 'd.md'").write.mode("append").parquet(str(feed))
+
+    def fails(changes, i):
+        raise RuntimeError("lost")
+
+    import contextlib
+
+    with contextlib.suppress(Exception):
+        start(fails)
+    assert store.version() == 3  # stored, not told
+    start()
+    assert seen[2:] == [(2, [("file_created", "d.md")])] and store.version() == 3
