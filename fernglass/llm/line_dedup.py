@@ -32,7 +32,7 @@ LOWEST = -(1 << 63)
 
 
 class Lines:
-    """Non-blank lines of a chunk of texts: start, end, first (by text), hash, number of words, and each text's hash."""
+    """Non-blank lines of a chunk of texts: start, end, first (by text), hash, and number of words."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, count: bool = False):
         starts, ends, first = words(data, off, data != 10)
@@ -42,7 +42,6 @@ class Lines:
         self.starts, self.ends = starts[some], ends[some]
         self.first = np.r_[0, np.cumsum(some)][first]
         self.hash = prefix.of(self.starts, self.ends)
-        self.mark = prefix.of(off[:-1], off[1:]).view(np.int64)
         if count:
             at = words(data, off)[0]
             self.words = np.searchsorted(at, self.ends) - np.searchsorted(at, self.starts)
@@ -75,7 +74,7 @@ def fingerprints(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame
 
     def rows(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, marks = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             for row, data, off in chunks(b.column(1)):
                 x = Lines(data, off, count=True)
                 if not len(x.hash):
@@ -88,7 +87,7 @@ def fingerprints(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame
                 cuts = pa.array(np.r_[np.flatnonzero(head), len(p)].astype(np.int32))
                 listed = lambda v: pa.ListArray.from_arrays(cuts, pa.array(v))
                 yield pa.record_batch([
-                    pa.array(x.hash[at[head]].view(np.int64)), pa.array(ids[row + text[head]]), pa.array(x.mark[text[head]]),
+                    pa.array(x.hash[at[head]].view(np.int64)), pa.array(ids[row + text[head]]), pa.array(marks[row + text[head]]),
                     listed((p - x.first[text]).astype(np.int32)), listed(size.astype(np.int32)), listed(wins.view(np.int64)),
                 ], names=["fp", "doc", "mark", "starts", "sizes", "wins"])
 
@@ -96,12 +95,12 @@ def fingerprints(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame
 
 
 def _ids(docs: DataFrame) -> DataFrame:
-    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.col("text").cast("binary").alias("text"))
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("mark"))
 
 
 def repeated_windows(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
     """(doc, mark, windows): (start, size) of the windows of each document that also stand at an earlier place."""
-    found = fingerprints(docs, run, long)
+    found = cut(fingerprints(docs, run, long))  # used twice
     shared = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("fp").alias("f"))
     around = found.join(shared, F.col("fp") == F.col("f"), "left_semi")
     around = around.select("doc", "mark", F.explode(F.arrays_zip("starts", "sizes", "wins")).alias("w"))
@@ -129,9 +128,8 @@ def dedup_lines(docs: DataFrame, run: int = RUN, keep: bool = False, long: int =
     * an empty table gives no rows; columns of ``docs`` other than doc_id and text are not looked at.
     """
     gone = repeated_windows(docs, run, long)
-    marked = _ids(docs).mapInArrow(_with_mark, "doc long, text binary, mark long")
     g = gone.select(F.col("doc").alias("__d"), F.col("mark").alias("__m"), "windows")
-    both = marked.join(g, (F.col("doc") == F.col("__d")) & (F.col("mark") == F.col("__m")), "left").select("doc", "text", "windows")
+    both = _ids(docs).join(g, (F.col("doc") == F.col("__d")) & (F.col("mark") == F.col("__m")), "left").select("doc", "text", "windows")
     schema = RESULT + ", kept string" * keep
 
     def rows(batches):
@@ -165,13 +163,6 @@ def dedup_lines(docs: DataFrame, run: int = RUN, keep: bool = False, long: int =
     return both.mapInArrow(rows, schema)
 
 
-def _with_mark(batches):
-    for b in batches:
-        marks = [Lines(data, off).mark for _, data, off in chunks(b.column(1))]
-        mark = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(mark)], names=["doc", "text", "mark"])
-
-
 def op3(spark, sf_dir):
     from .common import table
 
