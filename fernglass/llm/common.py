@@ -50,6 +50,21 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def unskewed_join(big: DataFrame, small: DataFrame, key: str, n: str, spread_by: list[str], how: str = "inner", parts: int = 32) -> DataFrame:
+    """``big`` joined with ``small`` on ``key``, where ``small`` has one row per key and in ``n`` how many rows of ``big`` have it.
+
+    Keys of more than a thousandth of the rows, of which there are fewer than a
+    thousand, are dealt over ``parts`` by ``spread_by``, and their rows of ``small`` repeated for each.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    hot = [r[key] for r in small.where(F.col(n) > max(1000, total / 1000)).select(key).collect()]
+    if not hot:
+        return big.join(small, key, how)
+    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int")).otherwise(0)
+    salts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return big.withColumn("__salt", salt).join(small.withColumn("__salt", F.explode(salts)), [key, "__salt"], how).drop("__salt")
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

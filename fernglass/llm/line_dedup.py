@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, unskewed_join
 from .textarrays import SHINGLE, SPACE, Prefix, U, chunks, mix, words
 
 RUN, LONG = 3, 50
@@ -101,13 +101,13 @@ def _ids(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
     """(doc, mark, windows): (start, size) of the windows of each document that also stand at an earlier place."""
     found = cut(fingerprints(docs, run, long))  # used twice
-    shared = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("fp").alias("f"))
-    around = found.join(shared, F.col("fp") == F.col("f"), "left_semi")
+    shared = cut(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    around = unskewed_join(found, shared, "fp", "n", ["doc", "mark"], "left_semi")
     around = around.select("doc", "mark", F.explode(F.arrays_zip("starts", "sizes", "wins")).alias("w"))
     around = cut(around.select("doc", "mark", F.col("w.starts").alias("start"), F.col("w.sizes").alias("size"), F.col("w.wins").alias("win")))
     place = F.struct("doc", "mark", "start")
-    first = around.groupBy("win").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("win").alias("w"), "first")
-    later = around.join(first, F.col("win") == F.col("w")).where(place > F.col("first"))
+    first = cut(around.groupBy("win").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    later = unskewed_join(around, first, "win", "n", ["doc", "mark", "start"]).where(place > F.col("first"))
     return later.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "size")).alias("windows"))  # no more than the document's lines
 
 

@@ -544,3 +544,21 @@ def test_suffix_dedup_of_common_passages_and_repeated_rows(make):
     rows += [(40, rows[2][1])] * 7 + [(None, rows[0][1])] * 5
     got = suffix_dedup.remove_repeats(make(rows).repartition(5))
     assert collect(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
+
+
+def test_hot_keys_are_spread_in_a_join(spark):
+    from pyspark.sql import functions as F
+
+    from fernglass.llm.common import unskewed_join
+
+    big = spark.range(6000).select(F.when(F.col("id") < 4000, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    small = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("m")).where("n > 1 or k % 2 = 0")
+    for how in ("inner", "left_semi"):
+        got, want = unskewed_join(big, small, "k", "n", ["id"], how), big.join(small, "k", how)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert "__salt" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_that_stands_everywhere(make):
+    rows = [(i, f"the very common line\nand another of them\nand a third one\nown {i}\n" + ("the very common line\n" if i % 3 else "")) for i in range(1500)]
+    assert collect(line_dedup.dedup_lines(make(rows)), "doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256") == brute_lines(rows)
