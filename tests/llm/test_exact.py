@@ -115,11 +115,11 @@ def test_emit_keeps_columns(docs):
     assert out.columns == docs.columns
     drawn = {}
     for r in mixing.mix(docs).collect():
-        drawn[r["doc_id"]] = min(drawn.get(r["doc_id"], 9), r["copies"])
+        drawn[r["doc_id"]] = drawn.get(r["doc_id"], 0) + r["copies"]  # a repeated row has a draw of its own
     per = {}
     for r in out.collect():
         per[r["doc_id"]] = per.get(r["doc_id"], 0) + 1
-    assert all(per.get(i, 0) == n * (2 if i == 904 else 1) for i, n in drawn.items())
+    assert {i: n for i, n in drawn.items() if n} == per
 
 
 def brute_components(rows):
