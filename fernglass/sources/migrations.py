@@ -116,11 +116,11 @@ def migrate_types(collection, dry_run: bool = True) -> dict[str, dict]:
             parsed = parse_type(data.decode(), name)
             parts = split_frontmatter(data.decode())
             text = document(plan[parsed.name]["frontmatter"], parts[1] if parts else "")
-            steps.append((f"{folder}/{name}", lambda n=name, x=text: files.write(f"{folder}/{n}", x.encode()), data))
+            steps.append(lambda n=name, x=text: files.write(f"{folder}/{n}", x.encode()))
         config = files.read(collection.config_name)
         raw = load_yaml(config.decode())
         raw["spec_version"] = "0.3.0"
-        steps.append((collection.config_name, lambda: files.write(collection.config_name, yaml.safe_dump(raw, sort_keys=False).encode()), config))
+        steps.append(lambda: files.write(collection.config_name, yaml.safe_dump(raw, sort_keys=False).encode()))
         collection._all_or_nothing(steps)
     return plan
 
@@ -141,8 +141,8 @@ def run_manifest(collection, manifest: dict, dry_run: bool = False) -> list[dict
             if not dry_run:
                 work = []
                 for p in changed:
-                    fields, body, data = collection._stored(p)
-                    work.append((p, lambda p=p, f={**fields, step["field"]: step["value"]}, b=body: collection._write(p, f, b), data))
+                    fields, body, _ = collection._stored(p)
+                    work.append(lambda p=p, f={**fields, step["field"]: step["value"]}, b=body: collection._write(p, f, b))
                 collection._all_or_nothing(work)
             out.append({**step, "changed": changed})
         else:
@@ -231,11 +231,10 @@ def install(collection, pack: dict, expected: str | None = None) -> dict:
     steps = []
     for r in plan["resources"]:
         if r["action"] in ("create", "update"):
-            old = files.read(r["target"]) if files.exists(r["target"]) else None
             if r["target"].startswith(collection.config.types_folder + "/"):
                 parse_type(r["document"], r["target"])
-            steps.append((r["target"], lambda r=r: files.write(r["target"], r["document"].encode()), old))
+            steps.append(lambda r=r: files.write(r["target"], r["document"].encode()))
     lock["packs"][pack["id"]] = {"version": pack["version"], "resources": {r["target"]: r["origin"] if r["action"] != "preserve" else before.get(r["target"]) for r in plan["resources"]}}
-    steps.append((LOCK, lambda: files.write(LOCK, json.dumps(lock, indent=1).encode()), files.read(LOCK) if files.exists(LOCK) else None))
+    steps.append(lambda: files.write(LOCK, json.dumps(lock, indent=1).encode()))
     collection._all_or_nothing(steps)
     return plan
