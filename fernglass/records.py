@@ -77,12 +77,12 @@ def once(col: Column) -> Column:
 def file_parts(path: Column) -> dict[str, Column]:
     """name, basename, ext and folder of a path; a leading dot doesn't start an extension."""
     name = F.substring_index(path, "/", -1)
-    dotted = name.rlike(r"^.+\.[^.]*$")
+    dotted = name.contains(".") & name.rlike(r"^.+\.[^.]*$")  # the pattern only where there is a dot
     return {
         "name": name,
         "basename": F.when(dotted, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name),
         "ext": F.when(dotted, F.substring_index(name, ".", -1)).otherwise(F.lit("")),
-        "folder": F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("")),
+        "folder": F.when(path.contains("/"), F.left(path, F.char_length(path) - F.char_length(name) - 1)).otherwise(F.lit("")),
     }
 
 
