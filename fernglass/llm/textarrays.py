@@ -29,11 +29,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """Congruent to x modulo PRIME and below 2**32, for x below 2**62."""
+    return (x & PRIME) + (x >> U(31))
+
+
 def reduced(x: np.ndarray) -> np.ndarray:
-    """Modulo PRIME, for x below 2**62."""
-    x = (x & PRIME) + (x >> U(31))
-    x = (x & PRIME) + (x >> U(31))
-    return np.where(x >= PRIME, x - PRIME, x)
+    """Modulo PRIME, for x below 2**63."""
+    x = folded(folded(x))
+    x[x >= PRIME] -= PRIME
+    return x
 
 
 _powers: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -64,12 +69,12 @@ class Prefix:
         self.n, self.sums, self.down = len(data), [], []
         for code, (up, down) in zip(BYTE_CODE, powers(len(data) + 1)):
             sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(reduced(code[data] * up[:-1]), out=sums[1:])  # below 2**31 each
+            np.cumsum(folded(code[data] * up[:-1]), out=sums[1:])  # below 2**32 each
             self.sums.append(sums)
             self.down.append(down)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        one, two = (reduced(reduced(s[end] - s[start]) * d[start]) for s, d in zip(self.sums, self.down))
+        one, two = (reduced(folded(s[end] - s[start]) * d[start]) for s, d in zip(self.sums, self.down))
         return mix(one << U(31) | two)
 
     def grams(self, k: int) -> np.ndarray:
@@ -77,7 +82,7 @@ class Prefix:
         n = self.n
         if n < k:
             return np.zeros(0, np.uint64)
-        one, two = (reduced(reduced(s[k:] - s[: n - k + 1]) * d[: n - k + 1]) for s, d in zip(self.sums, self.down))
+        one, two = (reduced(folded(s[k:] - s[: n - k + 1]) * d[: n - k + 1]) for s, d in zip(self.sums, self.down))
         return mix(one << U(31) | two)
 
 
