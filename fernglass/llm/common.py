@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,40 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # no glibc
+        pass
+
+
+def lean(rows):
+    """``rows`` of a mapInArrow, after which its worker holds no free memory: idle workers live on beside the next stages."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_groups(table, least: int = 512):
+    """The same for the function of an applyInArrow, after groups of at least ``least`` rows."""
+
+    def run(key, t):
+        try:
+            return table(key, t)
+        finally:
+            if t.num_rows >= least:
+                give_back()
+
+    return run
+
+
 def unskewed_join(big: DataFrame, small: DataFrame, key: str, n: str, spread_by: list[str], how: str = "inner", parts: int = 32) -> DataFrame:
     """``big`` joined with ``small`` on ``key``, where ``small`` has one row per key and in ``n`` how many rows of ``big`` have it.
 

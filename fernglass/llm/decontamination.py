@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, lean, small_batches
 from .textarrays import LOWERED, SHINGLE, Prefix, U, chunks, mix, words
 
 K, LITERALS, NEEDED = 8, 4, 4
@@ -157,7 +157,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([r[j] for r in out], x) for j, x in enumerate(kinds)], names=names)
 
     numbered = benchmark.select(F.monotonically_increasing_id().alias("number"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string"))
-    return cut(small_batches(numbered).mapInArrow(rows, ITEMS))  # which fixes the numbers
+    return cut(small_batches(numbered).mapInArrow(lean(rows), ITEMS))  # which fixes the numbers
 
 
 class Filter:
@@ -227,7 +227,7 @@ def candidates(docs: DataFrame, filter_: Filter, ks: list[int]) -> DataFrame:
             own = [b.column(j).take(take) for j in range(3)]
             yield pa.record_batch([*own, pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(np.concatenate(ps) if ps else [], pa.int32()), pa.array(fills, pa.list_(pa.binary()))], names=["row", "doc_id", "mark", "h", "p", "fillers"])
 
-    return small_batches(docs).mapInArrow(rows, FOUND)
+    return small_batches(docs).mapInArrow(lean(rows), FOUND)
 
 
 def verdict(hits: list[dict], total: int, n_usable: int) -> tuple | None:
@@ -289,7 +289,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     out.append((r["doc_id"], r["item_id"], got[0], r["total"], *got[1:], r["mark"]))
             yield pa.record_batch([pa.array([o[i] for o in out], pa.int64()) for i in range(len(names))], names=names)
 
-    return met.mapInArrow(rows, SCHEMA + ", mark long")
+    return met.mapInArrow(lean(rows), SCHEMA + ", mark long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, lean, lean_groups, small_batches
 from .components import components
 from .textarrays import LOWERED, Prefix, chunks, mix, shingles, words
 
@@ -129,7 +129,7 @@ def described(docs: DataFrame, exact: bool = False) -> DataFrame:
             half = [pa.array([x and int.from_bytes(x[k : k + 8], "little", signed=True) for x in name], pa.int64()) for k in (0, 8)]
             yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), *half, pa.array(ks, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "mark", "n", "hi", "lo", "keys", "sig"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text")).mapInArrow(rows, "doc_id long, mark long, n long, hi long, lo long, keys binary, sig binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text")).mapInArrow(lean(rows), "doc_id long, mark long, n long, hi long, lo long, keys binary, sig binary")
 
 
 def tile_rows(classes: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def tile_rows(classes: DataFrame) -> DataFrame:
             key = np.concatenate(ks) if ks else np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(key), pa.array(np.repeat(b.column(0).to_numpy(), counts))], names=["key", "cls"])
 
-    each = classes.select("cls", "keys").mapInArrow(rows, "key long, cls long")
+    each = classes.select("cls", "keys").mapInArrow(lean(rows), "key long, cls long")
     marks = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (1, 2)]  # 128 bits name the set
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("leader"), *marks).where("m > 1")
     once = shared.groupBy("m", "leader", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m", "leader")
@@ -161,7 +161,7 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             keep = [bool(may_link(na[i], np.frombuffer(x.column("sa")[i].as_py(), np.uint8), nb[i], np.frombuffer(x.column("sb")[i].as_py(), np.uint8))) for i in range(x.num_rows)]
             yield x.select(["a", "ra", "ha", "b", "rb", "hb"]).filter(pa.array(keep, pa.bool_()))
 
-    return sized.select("a", "ra", "ha", "na", "sa", "b", "rb", "hb", "nb", "sb").mapInArrow(rows, "a long, ra long, ha long, b long, rb long, hb long")
+    return sized.select("a", "ra", "ha", "na", "sa", "b", "rb", "hb", "nb", "sb").mapInArrow(lean(rows), "a long, ra long, ha long, b long, rb long, hb long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 if sum(map(len, seen.values())) > 4_000_000:
                     seen.clear()
 
-    return full.select("a", "ha", "ta", "b", "hb", "tb").mapInArrow(rows, "a long, b long").distinct()
+    return full.select("a", "ha", "ta", "b", "hb", "tb").mapInArrow(lean(rows), "a long, b long").distinct()
 
 
 def cross_pairs(tiles: DataFrame, classes: DataFrame, roots: DataFrame, nearest: bool = False) -> DataFrame:
@@ -222,7 +222,7 @@ def cross_pairs(tiles: DataFrame, classes: DataFrame, roots: DataFrame, nearest:
     rows = rows.select("key", "cls", "root", "n", "sig", "keys", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
-    def compare(t: pa.Table) -> pa.Table:
+    def compare(_, t: pa.Table) -> pa.Table:
         cls, root, n, own = (t.column(c).to_numpy() for c in ("cls", "root", "n", "own"))
         sig = [np.frombuffer(x, np.uint8) for x in t.column("sig").to_pylist()]
         order = np.argsort(n, kind="stable")
@@ -268,7 +268,7 @@ def cross_pairs(tiles: DataFrame, classes: DataFrame, roots: DataFrame, nearest:
         a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return rows.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("key", "p", "q").applyInArrow(lean_groups(compare), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, exact: bool = False) -> DataFrame:

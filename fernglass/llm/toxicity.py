@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_fraction, small_batches
+from .common import cut, hash_fraction, lean, small_batches
 
 #: Bytes of a scored window, of a piece the toxic dictionary learns from, of a window the ordinary one learns from.
 WINDOW, PIECE, BACKGROUND = 48, 24, 128
@@ -201,7 +201,7 @@ def _pieces(rows: DataFrame, size: int, most: int) -> list[tuple[int, bytes]]:
                     same = [pa.array([b.column(k)[i].as_py()] * len(part), t) for k, t in ((1, pa.int32()), (2, pa.float64()))]
                     yield pa.record_batch([*same, pa.array(part, pa.binary()), pa.array(range(at, at + len(part)), pa.int64())], names=["half", "draw", "piece", "at"])
 
-    made = small_batches(rows).mapInArrow(cutting, "half int, draw double, piece binary, at long")
+    made = small_batches(rows).mapInArrow(lean(cutting), "half int, draw double, piece binary, at long")
     got = made.orderBy("draw", "at", "piece").limit(most).toArrow()  # ``most`` short pieces
     return list(zip(got.column("half").to_pylist(), got.column("piece").to_pylist()))
 
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
             x = [[float(v) for p in pairs for v in p.features(t.as_py().encode())] for t in b.column(0)]
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    kept = small_batches(rows).where("__part >= 7").select("text", "__toxic").mapInArrow(features, "x array<double>, y int").collect()
+    kept = small_batches(rows).where("__part >= 7").select("text", "__toxic").mapInArrow(lean(features), "x array<double>, y int").collect()
     if not kept:
         return Model(ordinary, candidates[0])
     x, y = np.array([r["x"] for r in kept]).reshape(len(kept), len(candidates), N_RAW), np.array([r["y"] for r in kept])
@@ -280,9 +280,9 @@ def predict(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFra
             yield b.filter(pa.array(model.score(measured(pair, b.column("text"))) < 0.5)) if model else b
 
     if keep:
-        return small_batches(docs).mapInArrow(kept, docs.schema)
+        return small_batches(docs).mapInArrow(lean(kept), docs.schema)
     src = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    return small_batches(src).mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int, n_windows long")
+    return small_batches(src).mapInArrow(lean(rows), "doc_id long, held_out boolean, score double, predicted int, n_windows long")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:

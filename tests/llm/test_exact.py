@@ -562,3 +562,28 @@ def test_hot_keys_are_spread_in_a_join(spark):
 def test_line_that_stands_everywhere(make):
     rows = [(i, f"the very common line\nand another of them\nand a third one\nown {i}\n" + ("the very common line\n" if i % 3 else "")) for i in range(1500)]
     assert collect(line_dedup.dedup_lines(make(rows)), "doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256") == brute_lines(rows)
+
+
+def test_a_worker_holds_no_free_memory_after_its_rows():
+    import pyarrow as pa
+
+    from fernglass.llm import common
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    pinned, sizes = [], []
+
+    def rows(batches):
+        for b in batches:
+            held = [bytes(2000) for _ in range(60_000)]
+            pinned.append(bytes(3000))  # stands above what is freed, so the heap's end can't move down
+            yield len(held) + b
+        del held
+        sizes.append(resident())
+
+    assert list(common.lean(rows)(iter([1]))) == [60_001]
+    assert sizes[0] - resident() > 60_000_000
+    got = common.lean_groups(lambda key, t: t, least=1)((1,), pa.table({"a": [1, 2]}))
+    assert got.num_rows == 2
