@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -52,6 +53,12 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that are gone removed now; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def give_back() -> None:
     """Return this process's free memory to the system."""
     pa.default_memory_pool().release_unused()

@@ -14,7 +14,10 @@ so sizes grow geometrically (``Family``).
 
 Round one decides whole runs: an equal run in an earlier document covers all
 its strings.  A run whose anchor has also been seen in a different run is
-undecided; round two indexes its single strings in the same way.  What comes
+undecided; round two indexes its single strings in the same way.  It sends the
+bytes of such a run, compressed, to its anchor's partition, as equal strings
+have equal anchors; where an anchor has more than ``HOT`` runs, it deals the
+hashes of the single strings instead.  What comes
 back to a document is a byte per run or string, in order, so the text itself is
 shuffled once per round and never replicated.
 
@@ -26,7 +29,6 @@ the others, which have an earlier one beside them, are answered on the spot.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, free_shuffles, small_batches
 from .textarrays import Prefix, U, chunks, mix, window_min
 
 LENGTH, GRAM = 50, 20
@@ -44,6 +46,8 @@ PLACE = U((1 << 31) - 1)
 #: Text bytes of a partition of suffixes, of a bucket of texts, of a message's batch; keys of an index batch.
 PART_MB, BUCKET_MB, MESSAGE_BYTES, BATCH = 48, 16, 32 << 20, 1 << 18
 CHUNK = 1 << 19
+#: Runs of an anchor beyond which round two deals its single strings by their own hashes.
+HOT = 1 << 16
 #: Stands for a null doc_id, before all others.
 LOWEST = -(1 << 63)
 
@@ -142,11 +146,41 @@ def spread(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 MESSAGE = "part int, own int, batch long, docs binary, marks binary, counts binary, keys binary, anchors binary"
-REPLY = "bucket int, part int, batch long, local boolean, docs binary, marks binary, counts binary, codes binary"
+#: ``part`` is -1 for what the batches decided themselves, which are the codes of whole texts.
+REPLY = "bucket int, part int, kind int, batches binary, docs binary, marks binary, counts binary, codes binary"
+#: ``own`` of a message; kinds of replies.
+DECIDED, KEYS, CONTEXTS = 0, -1, -2
 #: What a batch decides itself: a document before has the key; the document has no id, so none is before.
 ASK, COVERED, FREE = 0, 1, 2
 
 
+def pressed(a: np.ndarray) -> bytes:
+    """An array compressed, by planes of its numbers' bytes."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T if len(a) else a
+    return zstandard.compress(planes.tobytes(), 3)
+
+
+def opened(x: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(x), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def steps(docs: np.ndarray) -> bytes:
+    """Ids compressed by their differences, signs in the lowest bit."""
+    d = np.diff(docs, prepend=np.int64(0))
+    return pressed((d << 1) ^ (d >> 63))
+
+
+def unstepped(x: bytes) -> np.ndarray:
+    z = opened(x, np.uint64)
+    return np.cumsum((z >> U(1)) ^ (U(0) - (z & U(1)))).view(np.int64)
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. (n[0] numbers), start[1], .."""
+    return np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def decided(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """ASK, COVERED or FREE for each key of a batch and its document; every key's first document asks, or stays for it."""
     out = np.zeros(len(keys), np.uint8)
@@ -166,31 +200,50 @@ def decided(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def message_rows(doc: np.ndarray, mark: np.ndarray, text: np.ndarray, keys: np.ndarray, anchors: np.ndarray | None, parts: int, batch: int):
     """Rows of MESSAGE; text numbers the rows of doc and mark, ascending.
 
-    Rows whose ``own`` is a part carry what was decided here; they go to any part, by document, and pass through it.
+    One row carries what was decided here, for whole texts; it goes to any part and passes through it.
     """
     part = spread(anchors if anchors is not None else keys, parts)
-    order = np.argsort(part.astype(np.uint16) if parts <= 65_536 else part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
     known, out = decided(keys, doc[text]), []
+    here = known != ASK
+    if here.any():
+        t, start, n = np.unique(text, return_index=True, return_counts=True)
+        some = np.add.reduceat(here, start, dtype=np.int64) > 0
+        out.append((batch % parts, DECIDED, batch, steps(doc[t[some]]), mark[t[some]].tobytes(), pressed(n[some].astype(np.uint32)), pressed(known[np.repeat(some, n)]), b""))
+    asked = np.flatnonzero(~here)
+    order = asked[np.argsort(part[asked].astype(np.uint16) if parts <= 65_536 else part[asked], kind="stable")]
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(ends)):
         rows = order[ends[p] : ends[p + 1]]
-        here = known[rows] != ASK
-        if here.any():
-            t, start, n = np.unique(text[rows], return_index=True, return_counts=True)
-            some = np.add.reduceat(here, start, dtype=np.int64) > 0
-            route = (mix(doc[t].view(np.uint64) ^ mark[t]) % U(parts)).astype(np.int64)
-            for r in np.unique(route[some]):
-                at = np.flatnonzero(some & (route == r))
-                codes = np.concatenate([known[rows[start[i] : start[i] + n[i]]] for i in at])
-                out.append((int(r), int(p), batch, doc[t[at]].tobytes(), mark[t[at]].tobytes(), n[at].astype(np.uint32).tobytes(), codes.tobytes(), b""))
-            rows = rows[~here]
-        if len(rows):
-            t, n = np.unique(text[rows], return_counts=True)
-            low = (anchors[rows] & U(0xFFFFFFFF)).astype(np.uint32).tobytes() if anchors is not None else b""
-            out.append((int(p), -1, batch, doc[t].tobytes(), mark[t].tobytes(), n.astype(np.uint32).tobytes(), keys[rows].tobytes(), low))
+        t, n = np.unique(text[rows], return_counts=True)
+        low = (anchors[rows] & U(0xFFFFFFFF)).astype(np.uint32).tobytes() if anchors is not None else b""
+        out.append((int(p), KEYS, batch, steps(doc[t]), mark[t].tobytes(), pressed(n.astype(np.uint32)), keys[rows].tobytes(), low))
     return out
 
 
+def context_rows(doc: np.ndarray, mark: np.ndarray, text: np.ndarray, anchor: np.ndarray, size: np.ndarray, data: np.ndarray, parts: int, batch: int):
+    """Rows of MESSAGE with runs' bytes, end to end in ``data``, as keys and their sizes as anchors; counts are of strings."""
+    part, start, out = spread(anchor, parts), np.cumsum(size) - size, []
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(ends)):
+        rows = order[ends[p] : ends[p + 1]]
+        t, first = np.unique(text[rows], return_index=True)
+        n = np.add.reduceat(size[rows] - LENGTH + 1, first)
+        out.append((int(p), CONTEXTS, batch, steps(doc[t]), mark[t].tobytes(), pressed(n.astype(np.uint32)), zstandard.compress(data[ranges(start[rows], size[rows])].tobytes(), 3), pressed(size[rows].astype(np.uint8))))
+    return out
+
+
+def context_keys(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hashes of the strings of runs that stand end to end, about CHUNK bytes at a time."""
+    off, row, out = np.r_[0, np.cumsum(size)], 0, [np.zeros(0, np.uint64)]
+    while row < len(size):
+        end = max(row + 1, int(np.searchsorted(off, off[row] + CHUNK, "right")) - 1)
+        p = ranges(off[row:end] - off[row], size[row:end] - LENGTH + 1)
+        out.append(Prefix(data[off[row] : off[end]]).of(p, p + LENGTH))
+        row = end
+    return np.concatenate(out)
+
+
 def table_of(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     fields = [c.split(" ") for c in schema.split(", ")]
@@ -242,95 +295,105 @@ def run_messages(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def replies(messages: DataFrame, buckets: int, runs: bool) -> DataFrame:
-    """For every key a code: 1 an earlier document has it, 2 (runs only) it is undecided, else 0.
+    """For every key a code: 1 an earlier document has it, 2 (runs only) it is undecided, 3 so is it with a hot anchor, else 0.
 
     Documents without any code don't come back.
     """
 
-    def replied(t: pa.Table, part: int | None, batches: np.ndarray, docs, marks, counts, codes, local: bool, out: list):
-        starts = np.cumsum(counts) - counts
-        some = np.flatnonzero(np.add.reduceat(codes, starts, dtype=np.int64) > 0) if len(starts) else starts
-        bucket = bucket_of(docs[some], marks[some], buckets)
-        order = np.lexsort((batches[some], bucket))
-        some, bucket = some[order], bucket[order]
-        heads = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (batches[some][1:] != batches[some][:-1])]) if len(some) else []
-        for a, b in zip(heads, np.r_[heads[1:], len(some)] if len(some) else []):
-            rows = some[a:b]
-            n = counts[rows]
-            where = np.repeat(starts[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append((int(bucket[a]), part, int(batches[rows[0]]), local, docs[rows].tobytes(), marks[rows].tobytes(), n.astype(np.uint32).tobytes(), codes[where].tobytes()))
-
     def decide(key: tuple, t: pa.Table) -> pa.Table:
         out, own = [], t.column("own").to_numpy()
-
-        def columns(t: pa.Table):
-            whole = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
-            docs, marks, counts = whole("docs", np.int64), whole("marks", np.uint64), whole("counts", np.uint32).astype(np.int64)
-            per = [len(x) // 8 for x in t.column("docs").to_pylist()]
-            return whole, docs, marks, counts, np.repeat(t.column("batch").to_numpy(), per)
-
-        for p in np.unique(own[own >= 0]):  # decided before
-            mine = t.filter(pa.array(own == p))
-            whole, docs, marks, counts, batches = columns(mine)
-            replied(mine, int(p), batches, docs, marks, counts, whole("keys", np.uint8), True, out)
-        t = t.filter(pa.array(own < 0))
-        if t.num_rows:
-            whole, docs, marks, counts, batches = columns(t)
-            keys, doc = whole("keys", np.uint64), np.repeat(docs, counts)
-            codes = (first_docs(keys, doc) < doc).astype(np.uint8)
-            if runs:
-                anchors = whole("anchors", np.uint32)
+        for kind in (DECIDED, KEYS, CONTEXTS):
+            mine = t.filter(pa.array(own == kind))
+            if not mine.num_rows:
+                continue
+            of = lambda name, f: np.concatenate([f(x) for x in mine.column(name).to_pylist()])  # noqa: B023, E731
+            docs, marks = of("docs", unstepped), of("marks", lambda x: np.frombuffer(x, np.uint64))
+            counts = of("counts", lambda x: opened(x, np.uint32)).astype(np.int64)
+            batches = np.repeat(mine.column("batch").to_numpy(), [len(x) // 8 for x in mine.column("marks").to_pylist()])
+            if kind == DECIDED:
+                codes = of("keys", lambda x: opened(x, np.uint8))
+            else:
+                doc = np.repeat(docs, counts)
+                if kind == KEYS:
+                    keys = of("keys", lambda x: np.frombuffer(x, np.uint64))
+                else:
+                    both = zip(mine.column("keys").to_pylist(), mine.column("anchors").to_pylist())
+                    keys = np.concatenate([context_keys(np.frombuffer(zstandard.decompress(x), np.uint8), opened(n, np.uint8).astype(np.int64)) for x, n in both])
+                codes = (first_docs(keys, doc) < doc).astype(np.uint8)
+            if kind == KEYS and runs:
+                anchors = of("anchors", lambda x: np.frombuffer(x, np.uint32))
                 order = np.argsort(anchors, kind="stable")
                 heads = np.flatnonzero(np.r_[True, anchors[order][1:] != anchors[order][:-1]])
-                sorted_keys = keys[order]
+                sorted_keys, n = keys[order], np.diff(np.r_[heads, len(keys)])
                 many = np.minimum.reduceat(sorted_keys, heads) != np.maximum.reduceat(sorted_keys, heads)
-                undecided = np.empty(len(keys), bool)
-                undecided[order] = np.repeat(many, np.diff(np.r_[heads, len(keys)]))
-                codes[undecided & (codes == 0)] = 2
-            replied(t, int(key[0].as_py()), batches, docs, marks, counts, codes, False, out)
+                undecided = np.empty(len(keys), np.uint8)
+                undecided[order] = np.repeat(np.where(many, np.where(n > HOT, 3, 2), 0).astype(np.uint8), n)
+                codes = np.where(codes == 0, undecided, codes)
+            starts = np.cumsum(counts) - counts
+            some = np.flatnonzero(np.add.reduceat(codes, starts, dtype=np.int64) > 0)
+            bucket = bucket_of(docs[some], marks[some], buckets)
+            order = np.lexsort((docs[some], batches[some], bucket))
+            some, bucket = some[order], bucket[order]
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(ends)):
+                rows = some[ends[b] : ends[b + 1]]
+                which = (-1, KEYS) if kind == DECIDED else (int(key[0].as_py()), kind)
+                out.append((int(b), *which, steps(batches[rows]), steps(docs[rows]), marks[rows].tobytes(), pressed(counts[rows].astype(np.uint32)), pressed(codes[ranges(starts[rows], counts[rows])])))
         return table_of(out, REPLY)
 
     return messages.groupBy("part").applyInArrow(decide, REPLY)
 
 
+def identity(docs: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """64 bits that name a doc and mark."""
+    return mix(docs.view(np.uint64) ^ mix(marks))
+
+
 def bucket_of(docs: np.ndarray, marks: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(docs.view(np.uint64) ^ mix(marks)) % U(buckets)).astype(np.int64)
+    return (identity(docs, marks) % U(buckets)).astype(np.int64)
 
 
 class Answers:
-    """What came back for a bucket: (doc, mark) -> (part, batch) -> [what the batch decided, the answers to the rest].
+    """What came back for a bucket: rows of (identity, part) in order, with their codes.
 
-    Rows of one doc_id and text get the same whichever batch they were in, so one batch's pair is enough.
+    Rows of one doc_id and text get the same whichever batch they were in, so one batch's answers are enough.
     """
 
     def __init__(self, t: pa.Table):
-        self.by = defaultdict(lambda: defaultdict(lambda: [None, None]))
-        for r in t.to_pylist():
-            codes, at = np.frombuffer(r["codes"], np.uint8), 0
-            for d, m, n in zip(np.frombuffer(r["docs"], np.int64).tolist(), np.frombuffer(r["marks"], np.uint64).tolist(), np.frombuffer(r["counts"], np.uint32).tolist()):
-                self.by[(d, m)][(r["part"], r["batch"])][0 if r["local"] else 1] = codes[at : at + n]
-                at += n
+        of = lambda name, f: [f(x) for x in t.column(name).to_pylist()] if t.num_rows else []
+        whole = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs])
+        docs, marks = whole(of("docs", unstepped), np.int64), whole(marks_ := of("marks", lambda x: np.frombuffer(x, np.uint64)), np.uint64)
+        counts = whole(of("counts", lambda x: opened(x, np.uint32)), np.uint32).astype(np.int64)
+        batches = whole(of("batches", unstepped), np.int64)
+        self.codes = whole(of("codes", lambda x: opened(x, np.uint8)), np.uint8)
+        part = np.repeat(t.column("part").to_numpy(), [len(x) for x in marks_]).astype(np.int64) if t.num_rows else np.zeros(0, np.int64)
+        who, start = identity(docs, marks), np.cumsum(counts) - counts
+        order = np.lexsort((part, batches, who))
+        if len(order):
+            head = np.r_[True, who[order][1:] != who[order][:-1]]
+            of_one = batches[order] == batches[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
+            order = order[of_one]
+        self.who, self.part, self.count, self.start = who[order], part[order], counts[order], start[order]
 
     def apply(self, doc: np.ndarray, mark: np.ndarray, text: np.ndarray, part: np.ndarray) -> np.ndarray:
         """The codes of the keys of some texts, in their order."""
         out = np.zeros(len(text), np.uint8)
-        ends = np.searchsorted(text, np.arange(len(doc) + 1))
-        for i, who in enumerate(zip(doc.tolist(), mark.tolist())):
-            if got := self.by.get(who):
-                own = part[ends[i] : ends[i + 1]]
-                order = np.argsort(own, kind="stable")
-                sorted_part = own[order]
-                for (p, _), (local, rest) in got.items():
-                    a, b = np.searchsorted(sorted_part, [p, p + 1])
-                    codes = np.zeros(b - a, np.uint8)
-                    open_ = np.ones(b - a, bool)
-                    if local is not None:
-                        codes[local == COVERED] = 1
-                        open_ = local == ASK
-                    if rest is not None:
-                        codes[open_] = rest
-                    at = ends[i] + order[a:b]
-                    out[at] = np.where((codes == 1) | (out[at] == 1), 1, np.maximum(codes, out[at]))
+        who = identity(doc, mark)
+        lo = np.searchsorted(self.who, who, "left")
+        n = np.searchsorted(self.who, who, "right") - lo
+        if not len(text) or not n.sum():
+            return out
+        rows, owner = ranges(lo, n), np.repeat(np.arange(len(doc)), n)
+        known, own = np.zeros(len(text), np.uint8), self.part[rows] < 0
+        local, ends = rows[own], np.searchsorted(text, np.arange(len(doc)))
+        known[ranges(ends[owner[own]], self.count[local])] = self.codes[ranges(self.start[local], self.count[local])]
+        out[known == COVERED] = 1
+        rows, owner, parts = rows[~own], owner[~own], 1 + max(int(part.max()), int(self.part.max()))
+        asked = np.flatnonzero(known == ASK)
+        at = text[asked] * parts + part[asked]
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], owner * parts + self.part[rows])
+        out[asked[order[ranges(first, self.count[rows])]]] = self.codes[ranges(self.start[rows], self.count[rows])]
         return out
 
 
@@ -390,21 +453,28 @@ def string_messages(texts: DataFrame, first: DataFrame, parts: int) -> DataFrame
     """Round two's keys: the strings of undecided runs."""
 
     def rows(t: pa.Table, replied: pa.Table) -> pa.Table:
-        answers, held, base = Answers(replied), [], 0
-        if answers.by:
+        answers, who, runs, strings, base, out = Answers(replied), [], [], [], 0, []
+        if len(answers.who):
             for doc, mark, _, data, off in unpacked(t):
-                r, n = Runs(data, off), len(doc)
+                r = Runs(data, off)
                 codes = answers.apply(doc, mark, r.text, spread(r.anchor, parts))
-                p, text = r.strings(np.flatnonzero(codes == 2))
-                if len(p):
-                    held.append((doc, mark, text + base, r.prefix.of(p, p + LENGTH)))
-                    base += n
-        if not held:
-            return table_of([], MESSAGE)
-        doc, mark, text, keys = (np.concatenate(x) for x in zip(*held))
-        asks = firsts(doc, mark)[text]
-        text, keys = text[asks], keys[asks]
-        return table_of(message_rows(doc, mark, text, keys, None, parts, int(t.column("bucket")[0].as_py())), MESSAGE)
+                two = np.flatnonzero(codes == 2)
+                size = r.last[two] + LENGTH - r.start[two]
+                runs.append((r.text[two] + base, r.anchor[two], size, data[ranges(r.start[two], size)]))
+                p, text = r.strings(np.flatnonzero(codes == 3))
+                strings.append((text + base, r.prefix.of(p, p + LENGTH)))
+                who.append((doc, mark))
+                base += len(doc)
+        if who:
+            doc, mark = (np.concatenate(x) for x in zip(*who))
+            asks, batch = firsts(doc, mark), int(t.column("bucket")[0].as_py())
+            text, anchor, size, data = (np.concatenate(x) for x in zip(*runs))
+            mine = asks[text]
+            out += context_rows(doc, mark, text[mine], anchor[mine], size[mine], data[np.repeat(mine, size)], parts, batch)
+            text, keys = (np.concatenate(x) for x in zip(*strings))
+            mine = asks[text]
+            out += message_rows(doc, mark, text[mine], keys[mine], None, parts, batch)
+        return table_of(out, MESSAGE)
 
     return texts.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(rows, MESSAGE)
 
@@ -418,7 +488,8 @@ def removal(texts: DataFrame, both: DataFrame, parts: int, keep: bool) -> DataFr
 
     def rows(t: pa.Table, replied: pa.Table) -> pa.Table:
         level = replied.column("round").to_numpy() if replied.num_rows else np.zeros(0)
-        one, two = (Answers(replied.filter(pa.array(level == k))) for k in (1, 2))
+        kind = replied.column("kind").to_numpy() if replied.num_rows else level
+        one, two, three = (Answers(replied.filter(pa.array(x))) for x in (level == 1, (level == 2) & (kind == CONTEXTS), (level == 2) & (kind == KEYS)))
         out = []
         for doc, mark, copies, data, off in unpacked(t):
             r, n = Runs(data, off), len(doc)
@@ -427,12 +498,15 @@ def removal(texts: DataFrame, both: DataFrame, parts: int, keep: bool) -> DataFr
             full = codes == 1
             np.add.at(edge, r.start[full], 1)
             np.add.at(edge, r.last[full] + LENGTH, -1)
-            p, text = r.strings(np.flatnonzero(codes == 2))
+            runs = np.flatnonzero(codes == 2)
+            p, text = r.strings(runs)
+            found = [p[two.apply(doc, mark, text, np.repeat(spread(r.anchor[runs], parts), r.last[runs] - r.start[runs] + 1)) == 1]]
+            p, text = r.strings(np.flatnonzero(codes == 3))
             if len(p):
-                h = r.prefix.of(p, p + LENGTH)
-                found = p[two.apply(doc, mark, text, spread(h, parts)) == 1]
-                np.add.at(edge, found, 1)
-                np.add.at(edge, found + LENGTH, -1)
+                found.append(p[three.apply(doc, mark, text, spread(r.prefix.of(p, p + LENGTH), parts)) == 1])
+            for p in found:  # each string once
+                np.add.at(edge, p, 1)
+                np.add.at(edge, p + LENGTH, -1)
             gone = np.cumsum(edge[:-1]) > 0
             rising = gone.copy()
             rising[1:] &= ~gone[:-1]
@@ -465,6 +539,7 @@ def remove_repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
     buckets = max(8, -(-total // (BUCKET_MB << 20)))
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     first = cut(replies(run_messages(docs.select(ids.alias("doc"), F.col("text").cast("binary").alias("text")), parts), buckets, runs=True))
+    free_shuffles(docs.sparkSession)  # round one's messages, which nothing needs any more
     texts = texts_by_bucket(docs, buckets)
     # not cut: within one plan the texts' exchange serves both rounds
     second = replies(string_messages(texts, first, parts), buckets, runs=False)

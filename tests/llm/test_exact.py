@@ -587,3 +587,46 @@ def test_a_worker_holds_no_free_memory_after_its_rows():
     assert sizes[0] - resident() > 60_000_000
     got = common.lean_groups(lambda key, t: t, least=1)((1,), pa.table({"a": [1, 2]}))
     assert got.num_rows == 2
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 3])
+def test_undecided_runs_travel_as_bytes_or_by_string(make, monkeypatch, hot):
+    """Common phrases shorter than a string among ever new words, and passages that repeat but for a few words."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    phrases, long = [" ".join(word() for _ in range(5)) for _ in range(4)], [word() for _ in range(60)]
+    rows = []
+    for i in range(90):
+        w = list(long)
+        for _ in range(6):
+            w[rng.randrange(60)] = word()
+        rows.append((None if i % 9 == 0 else i // 2, " ".join([word(), rng.choice(phrases), word(), *w[: rng.randint(0, 60)], rng.choice(phrases), word()])))
+    rows += rows[20:24]
+    got = suffix_dedup.remove_repeats(make(rows).repartition(4))
+    assert collect(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
+
+
+def test_messages_hold_few_bytes_per_text_and_undecided_run():
+    import numpy as np
+
+    rng, parts, n = np.random.default_rng(5), 64, 2000
+    doc = np.arange(n) + 10**9
+    mark = rng.integers(0, 1 << 63, n).astype(np.uint64)
+    text = np.repeat(np.arange(n), 100)
+    keys = rng.integers(0, 1 << 63, len(text)).astype(np.uint64)
+    keys[text % 2 == 1] = keys[text % 2 == 0]  # half of it is decided within the batch
+    size = lambda rows: sum(len(x) for r in rows for x in r if isinstance(x, bytes))
+    rows = suffix_dedup.message_rows(doc, mark, text, keys, keys, parts, 1)
+    assert len(rows) == parts + 1
+    asked, pairs = len(text) // 2, sum(len(r[4]) // 8 for r in rows if r[1] < 0)
+    assert size(rows) < 12 * asked + 12 * pairs + 20 * n
+    words = b" ".join(b"%d" % x for x in rng.integers(100, 999, 30_000))
+    data = np.frombuffer(words, np.uint8)[: 80 * 1000]
+    runs = np.repeat(np.arange(200), 5)
+    sent = suffix_dedup.context_rows(doc, mark, runs, keys[:1000], np.full(1000, 80), data, parts, 1)
+    assert size(sent) < 31 * 1000 * 8 / 3
+    by_part = [(r, suffix_dedup.context_keys(np.frombuffer(suffix_dedup.zstandard.decompress(r[6]), np.uint8), suffix_dedup.opened(r[7], np.uint8).astype(np.int64))) for r in sent]
+    assert sum(len(k) for _, k in by_part) == 31_000 and all(suffix_dedup.opened(r[5], np.uint32).sum() == len(k) for r, k in by_part)
+    some = np.array([5, -(1 << 63), 7, (1 << 63) - 1, -3])
+    assert suffix_dedup.unstepped(suffix_dedup.steps(some)).tolist() == some.tolist()
