@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 
 import pyarrow as pa
@@ -53,10 +52,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the shuffle files of plans that are gone removed now; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def cut_and_free(df: DataFrame) -> DataFrame:
+    """``cut``, after which the shuffle files of ``df``'s plan are gone; else they stay until the driver happens to collect its garbage.
+
+    For plans that are run this once and share no exchange with another.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return cut(df.select("*"))  # a new plan, which heeds the setting
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 def give_back() -> None:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_shuffles, small_batches
+from .common import cut_and_free, small_batches
 from .textarrays import Prefix, U, chunks, mix, window_min
 
 LENGTH, GRAM = 50, 20
@@ -538,8 +538,7 @@ def remove_repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
     parts = max(8, -(-total // (PART_MB << 20)))
     buckets = max(8, -(-total // (BUCKET_MB << 20)))
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    first = cut(replies(run_messages(docs.select(ids.alias("doc"), F.col("text").cast("binary").alias("text")), parts), buckets, runs=True))
-    free_shuffles(docs.sparkSession)  # round one's messages, which nothing needs any more
+    first = cut_and_free(replies(run_messages(docs.select(ids.alias("doc"), F.col("text").cast("binary").alias("text")), parts), buckets, runs=True))
     texts = texts_by_bucket(docs, buckets)
     # not cut: within one plan the texts' exchange serves both rounds
     second = replies(string_messages(texts, first, parts), buckets, runs=False)

@@ -630,3 +630,18 @@ def test_messages_hold_few_bytes_per_text_and_undecided_run():
     assert sum(len(k) for _, k in by_part) == 31_000 and all(suffix_dedup.opened(r[5], np.uint32).sum() == len(k) for r, k in by_part)
     some = np.array([5, -(1 << 63), 7, (1 << 63) - 1, -3])
     assert suffix_dedup.unstepped(suffix_dedup.steps(some)).tolist() == some.tolist()
+
+
+def test_shuffle_files_go_with_the_plan_that_is_cut(spark):
+    from pyspark.sql import functions as F
+
+    from fernglass.llm.common import cut_and_free
+
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split()
+        return {b for b in blocks if b.startswith("shuffle_")}
+
+    before = files()
+    got = cut_and_free(spark.range(5000).groupBy((F.col("id") % 100).alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    assert not files() - before
+    assert got.count() == 100 and got.agg(F.sum("n")).first()[0] == 5000
