@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .operators import links as L
 from .plans.legacy_query import execute_legacy
 from .queries import NOW, query, records, run, table
-from .records import from_table
+from .records import from_table, numbered
 
 
 def _legacy(r, key: str, forms: dict[str, str], **q):
@@ -192,19 +192,14 @@ def file_facts(spark, d):
 def group_order(spark, d):
     df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.when(F.month("l_shipdate") < 11, F.month("l_shipdate").cast("long")).alias("l_shipmonth"))
     q = run(records(spark, d, "lineitem", df), group_by=[{"field": "l_shipmonth", "direction": "desc"}, {"field": "l_returnflag"}], summaries=[{"field": "l_orderkey", "function": "count", "name": "all"}])
-    from pyspark.sql import Window
-
     # the groups come in their order; their number shows it
-    placed = q.groups.withColumn("__i", F.monotonically_increasing_id())
-    return placed.select(F.row_number().over(Window.orderBy("__i")).cast("long").alias("place"), "l_shipmonth", "l_returnflag", "count")
+    return numbered(q.groups).select("place", "l_shipmonth", "l_returnflag", "count")
 
 
 @query("""SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place, o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500""")
 def order_dates(spark, d):
-    from pyspark.sql import Window
-
     q = run(records(spark, d, "orders"), order_by=[{"field": "o_orderdate", "direction": "desc"}, {"field": "o_orderkey"}], select=["o_orderkey"], limit=500)
-    return q.values.withColumn("__i", F.monotonically_increasing_id()).select(F.row_number().over(Window.orderBy("__i")).cast("long").alias("place"), "o_orderkey")
+    return numbered(q.values).select("place", "o_orderkey")
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'vendor' WHEN s_suppkey % 3 = 1 THEN 'maker,vendor' ELSE '' END AS types FROM supplier""")
@@ -248,10 +243,12 @@ def legacy_group_rows(spark, d):
     from pyspark.sql import Window
 
     q = execute_legacy(records(spark, d, "orders"), {"group_by": {"property": "o_orderstatus", "direction": "DESC"}, "order_by": [{"field": "o_totalprice"}, {"field": "o_orderkey"}]})
-    rows = q.group_rows.withColumn("__i", F.monotonically_increasing_id())
-    first = F.min("__i").over(Window.partitionBy("key"))
-    rows = rows.withColumn("__first", first).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("__i")).cast("long"))
-    return rows.select("key", "frontmatter.o_orderkey", F.dense_rank().over(Window.orderBy("__first")).cast("long").alias("group_place"), "place")
+    rows, groups = numbered(q.group_rows.select("key", "frontmatter.o_orderkey"), "__i"), numbered(q.groups.select("key", "n_rows"), "group_place")
+    # a row per group: how many rows stand before it
+    before = F.coalesce(F.sum("n_rows").over(Window.orderBy("group_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select(F.col("key").alias("__key"), "group_place", before.alias("__before"))
+    joined = rows.join(F.broadcast(groups), F.col("key").eqNullSafe(F.col("__key")))
+    return joined.select("key", "o_orderkey", "group_place", (F.col("__i") - F.col("__before")).alias("place"))
 
 
 @query("""SELECT path, code, field FROM (SELECT 'part/' || p_partkey AS path, unnest(list_filter([

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.internal import InternalFunction
 
 from .functions.values import DYN, TIMESTAMP, Val, is_variant_null, value_of, variant_path
 
@@ -74,6 +75,14 @@ def once(col: Column) -> Column:
     return F.when(F.rand(0) >= 0, col)  # not deterministic as far as the optimizer knows, so it is not copied into its uses
 
 
+def numbered(df: DataFrame, name: str = "place") -> DataFrame:
+    """``df`` with each row's place, from 1, in the order that it stands in; no task sees more than its own part of the rows.
+
+    The parts are counted and each counts on from those before it, which a window over everything would do in one task.
+    """
+    return df.withColumn(name, InternalFunction.distributed_sequence_id() + 1)
+
+
 def file_parts(path: Column) -> dict[str, Column]:
     """name, basename, ext and folder of a path; a leading dot doesn't start an extension."""
     name = F.substring_index(path, "/", -1)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fernglass import function_queries, queries
 from fernglass.operators.membership import TypeRule, with_defaults, with_types
 from fernglass.plans.query import QueryError, execute, validate
 from fernglass.plans.views import Views
@@ -183,3 +184,35 @@ def test_filters_reach_the_scan(spark, tmp_path):
 
 def test_validate_accepts_extensions():
     assert validate({"x-note": 1, "where": "true"}) == []
+
+
+def whole_windows(df) -> int:
+    """How many windows over everything a plan has that see more than one row per group."""
+    def inner(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from inner(plan.children().apply(i))
+
+    nodes = inner(df._jdf.queryExecution().optimizedPlan())
+    return sum(n.nodeName() == "Window" and not any(x.nodeName() == "Aggregate" for x in inner(n)) for n in nodes)
+
+
+def small_orders(spark, root, parts: int = 7) -> str:
+    """Orders in several files; a status that is null, and one that most rows share."""
+    df = spark.range(0, 400, 1, parts).select(
+        F.col("id").alias("o_orderkey"), F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 9 == 0, "P").otherwise("O").alias("o_orderstatus"),
+        ((F.col("id") * 7919) % 300 * 1000.0).alias("o_totalprice"), F.element_at(F.array(*map(F.lit, ["2-HIGH", "5-LOW", "none"])), (F.col("id") % 3 + 1).cast("int")).alias("o_orderpriority"),
+    )
+    df.write.parquet(f"{root}/orders.parquet")
+    return str(root)
+
+
+def test_rows_of_groups_are_numbered_without_a_window_over_them(spark, tmp_path):
+    got = function_queries.legacy_group_rows(spark, d := small_orders(spark, tmp_path))
+    assert whole_windows(got) == 0
+    rows = [r.asDict() for r in spark.read.parquet(f"{d}/orders.parquet").collect()]
+    want, groups = [], [None, "P", "O"]  # descending, null first
+    for g, key in enumerate(groups, 1):
+        inside = sorted((r for r in rows if r["o_orderstatus"] == key), key=lambda r: (r["o_totalprice"], r["o_orderkey"]))
+        want += [(key, r["o_orderkey"], g, n) for n, r in enumerate(inside, 1)]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
