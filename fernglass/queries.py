@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.globs import glob_regex
@@ -18,7 +18,7 @@ from .operators.rules import Type, filename_issues, link_issues, unique_issues,
 from .plans.legacy_query import execute_legacy
 from .plans.query import execute
 from .plans.views import Views
-from .records import Records, from_table, once
+from .records import Records, from_table, numbered, once
 
 NOW = datetime(2024, 3, 15, 12, 0, tzinfo=timezone.utc)
 KEYS = {
@@ -159,8 +159,7 @@ def order_topk(spark, d):
 
 def ranked(df: DataFrame) -> DataFrame:
     """Rows with their place in the order they come in."""
-    numbered = df.withColumn("__i", F.monotonically_increasing_id())
-    return numbered.withColumn("place", F.row_number().over(Window.orderBy("__i")).cast("long")).drop("__i")
+    return numbered(df)
 
 
 @query("""SELECT row_number() OVER (ORDER BY big DESC NULLS FIRST, o_orderkey) AS place, * FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN o_totalprice END AS big FROM orders)""")

@@ -216,3 +216,12 @@ def test_rows_of_groups_are_numbered_without_a_window_over_them(spark, tmp_path)
         inside = sorted((r for r in rows if r["o_orderstatus"] == key), key=lambda r: (r["o_totalprice"], r["o_orderkey"]))
         want += [(key, r["o_orderkey"], g, n) for n, r in enumerate(inside, 1)]
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+
+
+def test_rows_by_a_nullable_value_are_numbered_without_a_window_over_them(spark, tmp_path):
+    got = queries.order_nulls(spark, d := small_orders(spark, tmp_path))
+    assert whole_windows(got) == 0
+    big = {r["o_orderkey"]: r["o_totalprice"] if r["o_totalprice"] > 150000 else None for r in spark.read.parquet(f"{d}/orders.parquet").collect()}
+    want = sorted(big, key=lambda k: (big[k] is not None, -(big[k] or 0), k))
+    assert [r["o_orderkey"] for r in sorted(got.collect(), key=lambda r: r["place"])] == want
+    assert sorted(r["place"] for r in got.collect()) == list(range(1, len(want) + 1))
