@@ -225,3 +225,10 @@ def test_rows_by_a_nullable_value_are_numbered_without_a_window_over_them(spark,
     want = sorted(big, key=lambda k: (big[k] is not None, -(big[k] or 0), k))
     assert [r["o_orderkey"] for r in sorted(got.collect(), key=lambda r: r["place"])] == want
     assert sorted(r["place"] for r in got.collect()) == list(range(1, len(want) + 1))
+
+
+def test_rows_by_an_enum_are_numbered_without_a_window_over_them(spark, tmp_path):
+    got = queries.order_enum(spark, d := small_orders(spark, tmp_path))
+    assert whole_windows(got) == 0
+    place = {r["o_orderkey"]: [*queries.PRIORITIES, "none"].index(r["o_orderpriority"]) for r in spark.read.parquet(f"{d}/orders.parquet").collect()}
+    assert [(r["place"], r["o_orderkey"]) for r in sorted(got.collect(), key=lambda r: r["place"])] == list(enumerate(sorted(place, key=lambda k: (place[k], k)), 1))
