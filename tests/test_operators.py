@@ -214,3 +214,19 @@ def test_snapshot_diff(spark):
     new = variant_records(spark, {"same.md": {"a": 1}, "mod.md": {"a": 9}, "fresh.md": {"a": 4}, "new-name.md": {"a": 3}}, types={"same.md": ["y"]})
     got = {tuple(x) for x in snapshot_diff(old, new).collect()}
     assert got == {("file_modified", "mod.md", None), ("file_deleted", "gone.md", None), ("file_created", "fresh.md", None), ("file_renamed", "new-name.md", "old-name.md"), ("type_changed", "same.md", None)}
+
+
+def test_lookups_hold_the_keys_that_are_asked_for(spark):
+    r = variant_records(spark, {f"many/r{i}.md": {} for i in range(300)} | {"a.md": {"to": "[[many/r7]]"}})
+    asked = spark.createDataFrame([("pmany/r7",), ("nr9",), ("pno",)], "key string")
+    keys = {x["key"] for x in L.lookups(r, asked=asked)[0].collect()}
+    assert {"pmany/r7", "nr9"} <= keys and len(keys) < 30  # of 903
+
+
+def test_repeated_links_resolve_as_single_ones(spark):
+    r = variant_records(spark, {p: {"id": i} for p, i in {"x/n.md": "one", "y/n.md": "two", "x/y/n.md": "two", "x/m.md": "n", "top.md": "", "k.md": "k"}.items()}, id_field="id")
+    texts = ["[[n]]", "[[x/n]]", "[[./n]]", "[[../n]]", "[[one]]", "[[two]]", "n", "./n.md", "[a](n.md)", "[[/x/n]]", "[[top]]", "[[gone]]", "[[", "", None, "[[k]]"]
+    df = spark.createDataFrame([(s, t) for s in ("x/m.md", "y/q.md", "top.md", "x/y/z.md") for t in texts], "src string, link string")
+    df = df.union(df)
+    both = [sorted(map(str, f(df, F.col("link"), F.col("src"), r, "r").collect())) for f in (L.resolve, L.resolve_repeated)]
+    assert both[0] == both[1] and len(both[0]) == 2 * 4 * len(texts)
