@@ -33,6 +33,8 @@ KEYS = {
     "types": list, "timezone": str, "context": dict, "projections": dict, "where": str, "select": list, "order_by": list, "group_by": list,
     "summary_functions": dict, "summaries": list, "limit": int, "offset": int, "include_body": bool, "frontmatter_mode": str,
 }
+#: a link that leads to the same record from every folder
+ABSOLUTE = re.compile(r"\[\[(?!\.\.?/)[^\[\]|#\r\n]*/[^\[\]\r\n]*\]\]")
 DIAGNOSTICS = "severity string, code string, message string, path string, field string"
 
 
@@ -189,6 +191,7 @@ class Planner:
         self.derefs: dict[tuple[str, str], Val] = {}
         self.this: Val | None = None
         self.has_facts = False
+        self.led: DataFrame | None = None
 
     # what expressions need
 
@@ -252,13 +255,26 @@ class Planner:
         """Equal resolved targets; where one of them doesn't resolve, equal textual targets."""
         k = self.sites
         self.sites += 1
-        each = self.df.select("path", F.explode("file_links").alias("__link"))
-        got = L.resolve(each, F.col("__link"), F.col("path"), self.records, "__r")
-        per = got.groupBy(F.col("path").alias(f"__hp{k}")).agg(F.collect_set(F.struct(F.col("__r.path").alias("to"), L.link_target(F.col("__link")).alias("text"))).alias(f"__has{k}"))
+        if self.led is None:  # the rows of later calls are among these
+            # outer, and then no nulls: otherwise the lists are made a second time to see whether they are empty
+            each = self.df.select("path", F.explode_outer("file_links").alias("__link")).where("__link is not null")
+            find = L.resolve if self.records.parse_body else L.resolve_repeated
+            got = find(each, F.col("__link"), F.col("path"), self.records, "__r")
+            self.led = got.select("path", F.col("__r.path").alias("to"), L.link_target(F.col("__link")).alias("text"))
+        same = lambda to, mine: lambda x: F.when(x["to"].isNotNull() & to.isNotNull(), x["to"] == to).otherwise(F.coalesce(x["text"] == mine, F.lit(False)))
+        if isinstance(link.const, str) and ABSOLUTE.fullmatch(link.const):
+            # it leads to the same record wherever it stands, so it is one row, and only the links that it equals are gathered
+            one = self.records.df.sparkSession.range(1).select(F.lit(link.const).alias("__want"))
+            one = L.resolve(one, F.col("__want"), F.lit(""), self.records, "__w", narrow=True)
+            one = one.select(F.col("__w.path").alias("__wt"), L.link_target(F.col("__want")).alias("__wx"))
+            alike = self.led.crossJoin(F.broadcast(one))  # exactly one row
+            alike = alike.where(same(F.col("__wt"), F.col("__wx"))({"to": F.col("to"), "text": F.col("text")}))
+            self.df = self.df.join(alike.select(F.col("path").alias(f"__hp{k}")).distinct(), F.col("path") == F.col(f"__hp{k}"), "left")
+            return Val(BOOL, F.col(f"__hp{k}").isNotNull())
+        per = self.led.groupBy(F.col("path").alias(f"__hp{k}")).agg(F.collect_set(F.struct("to", "text")).alias(f"__has{k}"))
         wanted = L.resolve(self.df.withColumn(f"__want{k}", text), F.col(f"__want{k}"), link.origin if link.origin is not None else F.col("path"), self.records, f"__w{k}")
         self.df = wanted.join(per, F.col("path") == F.col(f"__hp{k}"), "left").drop(f"__hp{k}")
-        to, mine = F.col(f"__w{k}.path"), L.link_target(F.col(f"__want{k}"))
-        found = F.exists(f"__has{k}", lambda x: F.when(x["to"].isNotNull() & to.isNotNull(), x["to"] == to).otherwise(F.coalesce(x["text"] == mine, F.lit(False))))
+        found = F.exists(f"__has{k}", same(F.col(f"__w{k}.path"), L.link_target(F.col(f"__want{k}"))))
         return Val(BOOL, F.coalesce(found, F.lit(False)))
 
     def record_struct(self) -> Column:

@@ -232,3 +232,14 @@ def test_rows_by_an_enum_are_numbered_without_a_window_over_them(spark, tmp_path
     assert whole_windows(got) == 0
     place = {r["o_orderkey"]: [*queries.PRIORITIES, "none"].index(r["o_orderpriority"]) for r in spark.read.parquet(f"{d}/orders.parquet").collect()}
     assert [(r["place"], r["o_orderkey"]) for r in sorted(got.collect(), key=lambda r: r["place"])] == list(enumerate(sorted(place, key=lambda k: (place[k], k)), 1))
+
+
+def test_a_constant_link_is_one_row(spark, tmp_path):
+    rows = {f"o/{i}.md": {"c": f"[[c/{i % 5}]]"} for i in range(40)} | {f"c/{i}.md": {} for i in range(4)} | {"o/x.md": {"c": "[[c/4|gone]]"}, "o/y.md": {"c": "[at](../c/3.md)"}, "o/z.md": {}}
+    r = from_table(spark.createDataFrame([(p, f.get("c")) for p, f in rows.items()], "path string, c string"), F.col("path"), fields=["c"], link_fields=("c",))
+    q = execute(r, {"where": 'file.hasLink("[[c/3#top|a name]]")', "select": ["c"]}, ordered=False)
+    assert sorted(paths(q)) == sorted([f"o/{i}.md" for i in range(3, 40, 5)] + ["o/y.md"])
+    assert "__want" not in str(q.matched.columns)  # the link isn't written beside every record and joined with the collection
+    assert len(paths(execute(r, {"where": 'file.hasLink("[[c/4]]")'}, ordered=False))) == 9  # leads nowhere: equal as texts
+    near = execute(r, {"where": 'file.hasLink("[[../c/3]]") && !file.hasLink("[[c/4]]")'}, ordered=False)
+    assert sorted(paths(near)) == sorted(paths(q))
